@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, numerator: int = 3, denominator: int = 2) -> DataF
     x = x.withColumn("rest", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))).withColumn("total", F.sum("source_size").over(all_))
     level = (numerator * F.col("total") - denominator * F.col("before")) / (denominator * F.col("rest")).cast("double")
     x = x.withColumn("level", level).withColumn("open", F.col("cap") / F.col("weight") > F.col("level"))
-    x = x.withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(all_))
+    x = x.withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(all_))  # the first open one: beyond it they fall
     goal = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return x.select("src", "source_size", "weight", "slope", goal.alias("target"))
 
@@ -75,9 +75,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     return x.drop("src", "h", "bucket", "bucket_start", "slope", "start", "demand")
 
 
-def in_order(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Range-sorted by first position; documents that aren't taken come last."""
-    by = (F.col("first_position").asc_nulls_last(), F.col(doc_id).asc_nulls_last())
+def in_order(mixed: DataFrame, doc_id: str = "doc_id", position: str = "first_position") -> DataFrame:
+    """Range-sorted by position; documents that aren't taken come last."""
+    by = (F.col(position).asc_nulls_last(), F.col(doc_id).asc_nulls_last())
     return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bitpack, licenses, mixing, packing, quality, sharding, token_counts, topk
+from larkspur.llm import bitpack, licenses, mixing, near_dups, packing, quality, sharding, suffix_dedup, token_counts, topk
 from larkspur.llm.common import read
 
 SHARDS = 24
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(read(spark, sf_dir, "documents")))
 
@@ -28,6 +33,10 @@ def op3_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", size.cast("long").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     out = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_position", "second_position")
@@ -99,7 +108,7 @@ w as (select *, [5, 2, 1][cast((row_number() over (order by source nulls last) -
 f as (select *, coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as before,
   sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as rest, sum(source_size) over () as total from w),
 l as (select *, (3 * total - 2 * before)::double / (2 * rest)::double as level from f),
-g as (select source, source_size, slope, least(cap::double, coalesce((select min(level) from l where cap / weight > level) * weight, cap::double)) as target from l),
+g as (select source, source_size, slope, least(cap::double, coalesce((select max(level) from l where cap / weight > level) * weight, cap::double)) as target from l),
 p as (select k.*, g.source_size, g.slope, g.target, cast(round(g.target) as bigint) as demand,
   sum(k.size) over (partition by k.source order by h, doc_id, k.size rows between unbounded preceding and current row) - k.size as start from k join g on k.source is not distinct from g.source),
 t as (select *, greatest(0, least(size, demand - start)) as a, greatest(0, least(size, demand - source_size - start)) as b from p),
@@ -118,7 +127,7 @@ select query_id, rank, vec_id, score from r where rank <= 20"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_license_scan, op3_histogram_sort_shards, op5_curriculum_mix, op6_pack_tournament, op7_bit_packed_tokens, op8_exact_topk, op9_weak_supervision, op10_length_histogram)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_histogram_sort_shards, op4_super_minhash, op5_curriculum_mix, op6_pack_tournament, op7_bit_packed_tokens, op8_exact_topk, op9_weak_supervision, op10_length_histogram)}
 
 
 def oracle_sql() -> dict[str, str]:
