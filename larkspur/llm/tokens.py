@@ -1,8 +1,8 @@
 """Encoding with public tokenizers, one cached word at a time.
 
 ``WordEncoder`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``. It
-cuts texts only where the tokenizer's own pre-tokenisation always cuts: before a space that stands
-between two characters that aren't white space. Words recur, so most are found in a dictionary.
+cuts texts only where the tokenizer's own pre-tokenisation always cuts: before a space or line end that
+stands between two characters that aren't white space. Words recur, so most are found in a dictionary.
 Files whose pre-tokenisation isn't known to cut there are encoded as whole texts.
 """
 
@@ -11,14 +11,15 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Words kept in a worker's dictionary; it starts afresh beyond that, so its memory is bounded.
 CACHE_WORDS = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than the space; next to a space it makes a text irregular.
-_ODD = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+#: White space other than the space and line end; it makes a text irregular.
+_ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,6 +45,7 @@ class WordEncoder:
         self.spaced = kinds == ["ByteLevel"] and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not norm
         self.dropped = kinds == ["Split", "ByteLevel"] and steps[0].get("behavior") == "Removed" and norms == ["NFC", "Replace", "Lowercase"] and not steps[1].get("use_regex")
         self.letters = _byte_letters()
+        self.marks = {m: self.raw(m) if m else b"" for m in ("", ".", ",")}
         self.words: dict[str, bytes] = _Words(self)
 
     def raw(self, text: str) -> bytes:
@@ -54,13 +56,19 @@ class WordEncoder:
         return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
-        if word.isascii():
-            if word.isalpha():
-                return self._model(" " + word if self.spaced else word.lower())
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self.words[word[:-1]] + self.raw(word[-1])
-        return self.raw(" " + word)
+        """Ids of a word with a space before it; of one that starts with a line end, of both without."""
+        if word[:1] == "\n":
+            return self.raw("\n") + self._plain(word[1:], "")
+        return self._plain(word, " " if self.spaced else "")
+
+    def _plain(self, word: str, before: str) -> bytes:
+        # Latin letters that the normaliser only lower-cases, with a full stop or comma at most
+        end = word[-1:] if word[-1:] in (".", ",") else ""
+        core = word[:-1] if end else word
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250" and is_normalized("NFC", core) and len(core.lower()) == len(core)):
+            ids = self._model(before + core) if self.spaced else self._model(core.lower())
+            return ids + self.marks[end]
+        return self.raw(before + word)
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, little-endian in ``dtype``."""
@@ -70,11 +78,16 @@ class WordEncoder:
             return self.raw(text)
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        parts = text.split(" ")
-        if "" in parts or any(c in text and (c + " " in text or " " + c in text) for c in (_ODD[:9] if text.isascii() else _ODD)):
-            parts = _CUT.split(text)
         get = self.words.__getitem__
-        return self.raw(parts[0]) + b"".join(map(get, parts[1:])) if self.spaced else b"".join(map(get, parts))
+        odd = _ODD if not text.isascii() else _ODD[:7]
+        if self.dropped:
+            if not any(c in text for c in odd):
+                return b"".join(map(get, text.replace("\n", " ").split(" ")))
+            return b"".join(map(get, _CUT.split(text)))
+        parts = text.replace("\n", " \n").split(" ")
+        if "" in parts or "\n" in parts or any(c in text for c in odd):
+            parts = _CUT.split(text)
+        return self.raw(parts[0]) + b"".join(map(get, parts[1:]))
 
 
 class _Words(dict):
