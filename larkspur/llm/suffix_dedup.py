@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import partitions, release, written
 from larkspur.llm.suffixes import LEFT, LENGTH, RIGHT
 
-RUN, BLOCK, RANGE, OVERSAMPLE = 100_000, 256, 20_000, 32
+RUN, BLOCK, RANGE, OVERSAMPLE = 100_000, 256, 50_000, 32
 FIELDS = 4  # of a context: document's row hash, place, least d, greatest d
 BLOCK_SCHEMA = "first binary, last binary, n long, payload binary"
 FOUND_SCHEMA = "kind int, rid long, lo long, hi long, h1 long, h2 long, first binary, last binary, n long, payload binary"
@@ -148,16 +148,24 @@ def resolved(blocks: DataFrame, left_first: bool) -> DataFrame:
     cuts = splitters(blocks)
 
     def ranges_of(batches):
+        from bisect import bisect_left
+
+        from larkspur.llm.suffixes import KEY, decode_block, encode_block
+
         for batch in batches:
-            first, last = (np.array(batch.column(k).to_pylist(), dtype=object) for k in (0, 1))
-            lo = np.array([_upto(cuts, x) for x in first], np.int64)
-            hi = np.array([_upto(cuts, x) for x in last], np.int64)
-            pick = np.repeat(np.arange(len(lo)), hi - lo + 1)
-            dest = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]) if len(lo) else np.zeros(0, np.int64)
-            for at in range(0, len(pick), 512):
-                part = pick[at : at + 512]
-                taken = batch.take(pa.array(part))
-                yield pa.RecordBatch.from_arrays([pa.array(dest[at : at + 512]), *taken.columns], names=["dest", *taken.schema.names])
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for first, last, n, payload in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    lo, hi = _upto(cuts, first), _upto(cuts, last)
+                    if lo == hi:
+                        out.append((lo, first, last, n, payload))
+                        continue
+                    rows, meta = decode_block(n, payload, FIELDS, KEY)  # a block that splitters cut
+                    keys = [r.tobytes() for r in rows]
+                    edges = [0, *(bisect_left(keys, c) for c in cuts[lo:hi]), n]
+                    out += [(lo + k, keys[a], keys[b - 1], b - a, encode_block(rows[a:b], meta[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                d, f, e, n, p = zip(*out)
+                yield pa.RecordBatch.from_pydict({"dest": pa.array(d, pa.int64()), "first": pa.array(f, pa.binary()), "last": pa.array(e, pa.binary()), "n": pa.array(n, pa.int64()), "payload": pa.array(p, pa.binary())})
 
     def merge(batches):
         at, held = None, []
@@ -209,10 +217,6 @@ def _merge_range(held: list[tuple], dest: int, cuts: list[bytes], left_first: bo
     keys, lcps, meta = [], [], []
     first = True
     for key, lcp, stream in LoserTree([Stream(c, FIELDS) for c in _chains(held)]):
-        if low is not None and key < low:
-            continue
-        if high is not None and key >= high:
-            break
         lcp = 0 if first else lcp
         first = False
         if lcp < least and len(keys) >= 4096:

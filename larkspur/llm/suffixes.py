@@ -8,6 +8,7 @@ context. So sorting the anchors' contexts decides every window.
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 from larkspur.llm.shingles import mixed, powers
 
@@ -112,10 +113,18 @@ def sort_run(rows: np.ndarray) -> np.ndarray:
 
 
 def encode_block(rows: np.ndarray, meta: np.ndarray) -> bytes:
-    """A sorted block, front-coded: the common prefixes, the remaining bytes and the meta rows (int64)."""
+    """A sorted block, front-coded and compressed: the common prefixes, the meta rows (int64) and the remaining bytes."""
     lcp = prefixes(rows)
     keep = np.arange(rows.shape[1]) >= lcp[:, None]
-    return lcp.astype("<u2").tobytes() + meta.astype("<i8").tobytes() + rows[keep].tobytes()
+    return zstandard.compress(lcp.astype("<u2").tobytes() + meta.astype("<i8").tobytes() + rows[keep].tobytes(), 1)
+
+
+def decode_block(n: int, payload: bytes, fields: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and meta rows of a block."""
+    stream, keys = Stream([(n, payload)], fields, width), []
+    while stream.advance():
+        keys.append(stream.key)
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(n, width), stream.meta
 
 
 class Stream:
@@ -133,7 +142,7 @@ class Stream:
             got = next(self.blocks, None)
             if got is None:
                 return False
-            self.n, raw = got
+            self.n, raw = got[0], zstandard.decompress(got[1])
             self.i, self.at = 0, self.n * (2 + 8 * self.fields)
             self.lcps = np.frombuffer(raw, "<u2", self.n).tolist()
             self.meta = np.frombuffer(raw, "<i8", self.n * self.fields, 2 * self.n).reshape(self.n, self.fields)
