@@ -4,9 +4,11 @@ Texts with one shingle set are one class, found by a hash aggregation, however m
 is on classes. A class's 128 registers make 32 bands of 4: a pair with similarity 0.8 shares no band with probability
 5e-8. In each bucket only the most central class (the one whose buckets are fullest) is compared with the others, so a group
 of n near copies costs n comparisons. Where that leaves a bucket's classes in several components, the exact rest follows:
-every pair from different components whose signatures agree in 77 of 128 registers (0.8 less 5.6 standard deviations) is
-verified too; signatures are compared inside blocks, so that a large bucket spreads over tasks and only agreeing pairs are
-emitted. Links are always confirmed on whole shingle sets.
+every pair from different components is verified too, unless it can't be a link. A pair can't be one if its sizes differ too much,
+or if too many shingles of either occur in no other class of such buckets (a copy edited so much that it left its centre has them, so it
+is out without a comparison), and isn't taken for one if its signatures agree in less than 77 of 128 registers (0.8 less 5.6
+standard deviations). Signatures are compared inside blocks, so that a large bucket spreads over tasks and only possible pairs
+are emitted. Links are always confirmed on whole shingle sets.
 
 Null texts and texts without words are linked with nothing. Repeated rows are copies. A null doc_id counts as larger than all
 others. An empty table gives no rows. Only the id and the text are read, so other columns can't clash.
@@ -75,7 +77,8 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of ``pairs`` (c, x) those whose shingle sets have 100 * intersection >= percent * union.
+    """(a, b, linked, extra) for each of ``pairs`` (c, x): a = c, b = x, whether 100 * intersection >= percent * union of their
+    shingle sets, and the shingles that b has beyond a; with b = a once for each c, and all its shingles.
 
     Each class is looked up by one document; its text travels once for each centre it is compared with, to that centre's
     task. A centre of many pairs is repeated for every SPLIT of them, so no task has them all."""
@@ -88,7 +91,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     dealt = rows.join(written(roles, "roles-by-doc"), "rep").select("c", "part", "member", "cid", "text").repartition("c", "part").sortWithinPartitions("c", "part", "member")
 
     def compare(batches):
-        from larkspur.llm.shingles import overlap, set_keys, shingle_sets
+        from larkspur.llm.shingles import beyond, set_keys, shingle_sets
 
         at, head = None, None
         for batch in batches:
@@ -103,23 +106,49 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
                         continue
                     if not member[j]:
                         at, head = (c[j], p[j]), s
+                        if not p[j]:
+                            got.append((c[j], c[j], False, s.tobytes()))
                     elif at == (c[j], p[j]):
-                        both = overlap(head, s)
-                        if 100 * both >= percent * (len(head) + len(s) - both):
-                            got.append((c[j], cid[j]))
+                        more = beyond(s, head)
+                        both = len(s) - len(more)
+                        got.append((c[j], cid[j], 100 * both >= percent * (len(head) + len(s) - both), more.tobytes()))
                 if got:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64()), "linked": pa.array([g[2] for g in got], pa.bool_()), "extra": pa.array([g[3] for g in got], pa.binary())})
 
-    return written(dealt.mapInArrow(compare, "a long, b long").distinct(), "links")
+    return written(dealt.mapInArrow(compare, "a long, b long, linked boolean, extra binary"), "checked")
 
 
-def rest_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(c, x): pairs of a bucket that stand in different components so far and whose signatures agree."""
+def alone(checked: DataFrame, pool: DataFrame) -> DataFrame:
+    """(cid, u): how many shingles of a class of ``pool`` (cid) no other class of the pool has.
+
+    A pool class is a centre, whose shingles are all listed, or was compared with one: its shingles are the centre's or listed as
+    extra. So a shingle of one owner only is nowhere else in the pool."""
+    mine = checked.join(pool, checked["b"] == pool["cid"]).groupBy("b").agg(F.min("a").alias("m"))
+    centres = written(mine.select(F.col("m").alias("c")).distinct(), "pool-centres")
+    lists = checked.join(written(mine.withColumnRenamed("b", "owner"), "pool-lists"), (F.col("b") == F.col("owner")) & (F.col("a") == F.col("m"))).select("owner", "extra")
+    whole = checked.filter("a = b").join(centres, F.col("a") == F.col("c")).select(F.col("b").alias("owner"), "extra")
+
+    def listed(batches):
+        for batch in batches:
+            n = [len(x) // 8 if x else 0 for x in batch.column(1).to_pylist()]
+            flat = np.frombuffer(b"".join(x or b"" for x in batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_pydict({"owner": pa.array(np.repeat(batch.column(0).to_numpy(), n)), "s": pa.array(flat)})
+
+    rows = lists.union(whole).mapInArrow(listed, "owner long, s long")
+    only = rows.groupBy("s").agg(F.min("owner").alias("owner"), F.max("owner").alias("hi")).filter("owner = hi")
+    return written(only.groupBy("owner").agg(F.count("*").alias("u")).withColumnRenamed("owner", "cid"), "alone")
+
+
+def rest_pairs(buckets: DataFrame, classes: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(c, x): pairs of a bucket that stand in different components so far and may be links."""
     held = written(buckets.join(found, buckets["cid"] == found["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "held")
     open_ = written(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.expr(f"cast((size - 1) div {BLOCK} as int)").alias("top")), "open")
-    rows = held.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("top") + 1).cast("int"))
+    held = written(held.join(open_, "key"), "open-held")
+    own = alone(checked, written(held.select("cid").distinct(), "pool"))
+    rows = held.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("top") + 1).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    rows = written(rows, "blocks").join(classes.select("cid", "n", "sig"), "cid").select("key", "i", "j", "mine", "cid", "root", "n", "sig")
+    facts = written(held.select("cid").distinct().join(classes.select("cid", "n", "sig"), "cid").join(own, "cid", "left").select("cid", "n", "sig", F.coalesce("u", F.lit(0)).alias("u")), "facts")
+    rows = written(rows, "blocks").join(facts, "cid").select("key", "i", "j", "mine", "cid", "root", "n", "sig", "u")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def agree(batches):
@@ -131,10 +160,12 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> Data
             if len(held) < 2 or not left or not right:
                 return None
             cid, root = (np.array([r[f] for r in right], np.int64) for f in (1, 2))
-            n, sig = np.array([r[3] for r in right]), np.frombuffer(b"".join(r[4] for r in right), "<u4").reshape(len(right), -1)
+            n, shared = np.array([r[3] for r in right]), np.array([r[3] - r[5] for r in right])
+            sig = np.frombuffer(b"".join(r[4] for r in right), "<u4").reshape(len(right), -1)
             got = [[], []]
             for r in left:
-                ok = (root != r[2]) & (100 * np.minimum(n, r[3]) >= 80 * np.maximum(n, r[3]))
+                most = np.minimum(shared, r[3] - r[5])  # of the intersection
+                ok = (root != r[2]) & (100 * most >= percent * (n + r[3] - most))
                 if at[1] == at[2]:
                     ok &= cid > r[1]
                 ok = np.flatnonzero(ok)
@@ -145,7 +176,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> Data
             return pa.RecordBatch.from_pydict({"c": pa.array(got[0], pa.int64()), "x": pa.array(got[1], pa.int64())}) if got[0] else None
 
         for batch in batches:
-            for row in zip(*(batch.column(f).to_pylist() for f in range(8))):
+            for row in zip(*(batch.column(f).to_pylist() for f in range(9))):
                 if row[:3] != at:
                     if at and (out := pairs()):
                         yield out
@@ -160,7 +191,7 @@ def rest_pairs(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> Data
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash): component_id is the smallest doc_id reachable over links, kept whether it is the
-    document's own. The rest step's size filter and agreement hold for percent of 80 or more."""
+    document's own. The bands and the agreement asked for hold for percent of 80 or more."""
     if percent < 80:
         raise ValueError("bands are laid out for similarities of 0.8 or more")
     spark = docs.sparkSession
@@ -170,13 +201,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     buckets = memberships(classes)
     release(spark)
     pairs = star_pairs(buckets)
-    links = verified(docs, classes, pairs, k, percent, doc_id, text)
+    checked = verified(docs, classes, pairs, k, percent, doc_id, text)
+    links = checked.filter("linked").select("a", "b")
     found = components(links)
-    rest = rest_pairs(buckets, classes, found)
+    rest = rest_pairs(buckets, classes, checked, found, percent)
     release(spark, buckets)
     if not rest.isEmpty():
         more = verified(docs, classes, rest, k, percent, doc_id, text)
-        found = components(links.union(more))
+        found = components(links.union(more.filter("linked").select("a", "b")))
     at = classes.select("cid", "rep").join(found, classes["cid"] == found["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     at = written(at, "roots")
     least = written(at.groupBy("root").agg(F.min("rep").alias("component")), "least")

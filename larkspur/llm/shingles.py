@@ -136,11 +136,9 @@ def _sketch(sets: list[np.ndarray], best: np.ndarray, m: int) -> None:
             element, owner, perm = element[going], owner[going], perm[going]
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
+def beyond(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What a has and b hasn't; both sorted and distinct."""
+    if not len(a) or not len(b):
+        return a
     i = np.searchsorted(b, a)
-    return int((b[np.minimum(i, len(b) - 1)] == a).sum())
+    return a[b[np.minimum(i, len(b) - 1)] != a]
