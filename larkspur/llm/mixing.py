@@ -30,13 +30,14 @@ def word_count(text) -> Column:
 
 
 def targets(sizes: DataFrame, numerator: int = 3, denominator: int = 2) -> DataFrame:
-    """sizes: (src, source_size), a row for each source. Adds weight, slope and target: the total
+    """sizes: (src, source_size), a row for each source, src '' for null. Adds weight, slope and target: the total
     (numerator/denominator of all sizes) shared by weight, none above MAX_TIMES its source's size."""
-    rank = Window.orderBy(F.col("src").asc_nulls_last())
+    in_order_ = ((F.col("src") == "").cast("int"), "src")
+    rank = Window.orderBy(*in_order_)
     k = F.pmod(F.row_number().over(rank) - 1, F.lit(len(WEIGHTS))).cast("int") + 1
     x = sizes.withColumn("weight", F.element_at(F.lit(list(WEIGHTS)), k).cast("long")).withColumn("slope", F.element_at(F.lit(list(SLOPES)), k))
     x = x.withColumn("cap", MAX_TIMES * F.col("source_size"))
-    by_fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("src").asc_nulls_last())
+    by_fill = Window.orderBy(F.col("cap") / F.col("weight"), *in_order_)
     all_ = Window.partitionBy()
     x = x.withColumn("before", F.coalesce(F.sum("cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     x = x.withColumn("rest", F.sum("weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))).withColumn("total", F.sum("source_size").over(all_))
@@ -57,14 +58,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """docs with size, source_size, target, taken (words taken, repeats counted) and the positions of their first and
     second run (null if not taken). In a source documents stand in a fixed random order, by a hash of doc_id."""
     key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string")))
-    x = docs.drop(*OWN, "src", "h", "bucket").withColumn("size", word_count(text)).withColumn("src", F.col(source).cast("string"))
+    x = docs.drop(*OWN, "src", "h", "bucket").withColumn("size", word_count(text)).withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))  # '' is null
     x = x.withColumn("h", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).withColumn("bucket", F.shiftright("h", BUCKET_BITS).cast("int"))
     sums = x.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size")))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    offsets = offsets.alias("o").join(goals.alias("g"), F.expr("o.src <=> g.src")).select(F.col("o.src").alias("o_src"), F.col("o.bucket").alias("o_bucket"), "bucket_start", "source_size", "slope", "target")
-    x = x.join(offsets, F.expr("src <=> o_src and bucket = o_bucket")).drop("o_src", "o_bucket")
+    offsets = offsets.join(goals, "src").select("src", "bucket", "bucket_start", "source_size", "slope", "target")
+    x = x.join(offsets, ["src", "bucket"])  # dealt as the window below needs it
     here = Window.partitionBy("src", "bucket").orderBy("h", doc_id, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("start", F.col("bucket_start") + F.sum("size").over(here) - F.col("size")).withColumn("demand", F.round("target").cast("long"))
     clip = lambda left: F.greatest(F.lit(0), F.least(F.col("size"), left))

@@ -100,13 +100,16 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> di
     return post
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the features, base_failed, posterior and kept. The features are computed once and written with docs' own
-    columns (take those you don't need out first); the votes are counted from that table."""
+def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those in ``carry``) with FEATURES, base_failed, posterior and kept. The features are computed once and
+    written with the columns carried; the votes are counted from that table."""
     spark, names = docs.sparkSession, list(rules())
-    table = written(features(docs.drop("votes", "posterior", "kept"), text).withColumn("votes", F.array(*(v.cast("int") for v in rules().values()))), "quality")
+    own = {*FEATURES, "base_failed", "votes", "posterior", "kept"}
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in own]
+    voted = features(docs.drop("votes", "posterior", "kept"), text).withColumn("votes", F.array(*(v.cast("int") for v in rules().values())))
+    table = written(voted.select(*carried, *FEATURES, "base_failed", "votes"), "quality")
     counts = table.groupBy("votes").count().collect()  # at most 3 ** len(names) rows
+    assert len(counts) <= 3 ** len(names)
     post = fit(sorted((tuple(r.votes), r["count"]) for r in counts))
     known = spark.createDataFrame([(list(v), round(p, 9)) for v, p in post.items()], T.StructType([T.StructField("votes", T.ArrayType(T.IntegerType())), T.StructField("posterior", T.DoubleType())]))
-    assert len(post) <= 3 ** len(names)
     return table.join(F.broadcast(known), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))

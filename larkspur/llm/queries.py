@@ -58,7 +58,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", "posterior")
 
 
