@@ -3,12 +3,11 @@
 Texts with one shingle set are one class, found by a hash aggregation, however many copies there are; all later work
 is on classes. A class's 128 registers make 32 bands of 4: a pair with similarity 0.8 shares no band with probability
 5e-8. In each bucket only the most central class (the one whose buckets are fullest) is compared with the others, so a group
-of n near copies costs n comparisons. Where that leaves a bucket's classes in several components, the exact rest follows:
-every pair from different components is verified too, unless it can't be a link. A pair can't be one if its sizes differ too much,
-or if too many shingles of either occur in no other class of such buckets (a copy edited so much that it left its centre has them, so it
-is out without a comparison), and isn't taken for one if its signatures agree in less than 77 of 128 registers (0.8 less 5.6
-standard deviations). Signatures are compared inside blocks, so that a large bucket spreads over tasks and only possible pairs
-are emitted. Links are always confirmed on whole shingle sets.
+of n near copies costs n comparisons, and each comparison keeps what the class lacks of its centre and has beyond it. Where that leaves
+classes of one centre in several components, the exact rest follows from these two short lists: for x and y of centre c,
+|x and y| = |c| - |c less x| - |c less y| + |shared members of both lists|, a matrix product over blocks of members, so every pair that
+shares a bucket is decided exactly, a large group spreads over tasks, and only one link for each two components is emitted.
+Links are always confirmed on whole shingle sets.
 
 Null texts and texts without words are linked with nothing. Repeated rows are copies. A null doc_id counts as larger than all
 others. An empty table gives no rows. Only the id and the text are read, so other columns can't clash.
@@ -25,10 +24,9 @@ from larkspur.llm.common import release, written
 from larkspur.llm.components import components
 
 REGISTERS, BANDS, ROWS = 128, 32, 4
-AGREE = 0.6
 NO_ID = (1 << 63) - 1
-#: Classes that are compared with one centre in a task; members of a bucket in a block.
-SPLIT, BLOCK = 256, 512
+#: Classes that are compared with one centre in a task; classes of one centre in a block.
+SPLIT, BLOCK = 256, 2048
 
 
 def _texts(column) -> list[bytes]:
@@ -77,8 +75,8 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, linked, extra) for each of ``pairs`` (c, x): a = c, b = x, whether 100 * intersection >= percent * union of their
-    shingle sets, and the shingles that b has beyond a; with b = a once for each c, and all its shingles.
+    """(a, b, linked, na, nb, lists) for each of ``pairs`` (c, x): a = c, b = x, whether 100 * intersection >= percent * union of their
+    shingle sets, their sizes, and the shingles that one has and the other hasn't, a's first (``lacks`` of them).
 
     Each class is looked up by one document; its text travels once for each centre it is compared with, to that centre's
     task. A centre of many pairs is repeated for every SPLIT of them, so no task has them all."""
@@ -106,92 +104,76 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
                         continue
                     if not member[j]:
                         at, head = (c[j], p[j]), s
-                        if not p[j]:
-                            got.append((c[j], c[j], False, s.tobytes()))
                     elif at == (c[j], p[j]):
-                        more = beyond(s, head)
+                        lacks, more = beyond(head, s), beyond(s, head)
                         both = len(s) - len(more)
-                        got.append((c[j], cid[j], 100 * both >= percent * (len(head) + len(s) - both), more.tobytes()))
+                        got.append((c[j], cid[j], 100 * both >= percent * (len(head) + len(s) - both), len(head), len(s), len(lacks), lacks.tobytes() + more.tobytes()))
                 if got:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64()), "linked": pa.array([g[2] for g in got], pa.bool_()), "extra": pa.array([g[3] for g in got], pa.binary())})
-
-    return written(dealt.mapInArrow(compare, "a long, b long, linked boolean, extra binary"), "checked")
-
-
-def alone(checked: DataFrame, pool: DataFrame) -> DataFrame:
-    """(cid, u): how many shingles of a class of ``pool`` (cid) no other class of the pool has.
-
-    A pool class is a centre, whose shingles are all listed, or was compared with one: its shingles are the centre's or listed as
-    extra. So a shingle of one owner only is nowhere else in the pool."""
-    mine = checked.join(pool, checked["b"] == pool["cid"]).groupBy("b").agg(F.min("a").alias("m"))
-    centres = written(mine.select(F.col("m").alias("c")).distinct(), "pool-centres")
-    lists = checked.join(written(mine.withColumnRenamed("b", "owner"), "pool-lists"), (F.col("b") == F.col("owner")) & (F.col("a") == F.col("m"))).select("owner", "extra")
-    whole = checked.filter("a = b").join(centres, F.col("a") == F.col("c")).select(F.col("b").alias("owner"), "extra")
-
-    def listed(batches):
-        for batch in batches:
-            n = [len(x) // 8 if x else 0 for x in batch.column(1).to_pylist()]
-            flat = np.frombuffer(b"".join(x or b"" for x in batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_pydict({"owner": pa.array(np.repeat(batch.column(0).to_numpy(), n)), "s": pa.array(flat)})
-
-    rows = lists.union(whole).mapInArrow(listed, "owner long, s long")
-    only = rows.groupBy("s").agg(F.min("owner").alias("owner"), F.max("owner").alias("hi")).filter("owner = hi")
-    return written(only.groupBy("owner").agg(F.count("*").alias("u")).withColumnRenamed("owner", "cid"), "alone")
-
-
-def rest_pairs(buckets: DataFrame, classes: DataFrame, checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(c, x): pairs of a bucket that stand in different components so far and may be links."""
-    held = written(buckets.join(found, buckets["cid"] == found["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "held")
-    open_ = written(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", F.expr(f"cast((size - 1) div {BLOCK} as int)").alias("top")), "open")
-    held = written(held.join(open_, "key"), "open-held")
-    own = alone(checked, written(held.select("cid").distinct(), "pool"))
-    rows = held.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("top") + 1).cast("int"))
+                    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*got), kinds)], names=["a", "b", "linked", "na", "nb", "lacks", "lists"])
+
+    return written(dealt.mapInArrow(compare, "a long, b long, linked boolean, na long, nb long, lacks long, lists binary"), "checked")
+
+
+def _products(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many members each left list shares with each right list."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    n = [len(x) for x in left] + [len(x) for x in right]
+    row = np.repeat(np.arange(len(n)), n)
+    _, place, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    keep = times[place] > 1
+    row, place = row[keep], (np.cumsum(times > 1) - 1)[place[keep]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for at in range(0, int((times > 1).sum()), width):
+        a, b = np.searchsorted(place, [at, at + width])
+        m = np.zeros((len(n), width), np.float32)
+        m[row[a:b], place[a:b] - at] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def rest_links(checked: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes of one centre that stand in different components so far, one for each two components of a block."""
+    held = checked.join(found, checked["b"] == found["node"], "left").select("a", "b", F.coalesce("root", "b").alias("root"), "na", "nb", "lacks", "lists")
+    held = written(held, "held")
+    open_ = held.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.expr(f"cast((count(*) - 1) div {BLOCK} as int)").alias("top")).filter("lo <> hi").select("a", "top")
+    rows = held.join(written(open_, "open"), "a").withColumn("mine", F.pmod(F.xxhash64("b"), F.col("top") + 1).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    facts = written(held.select("cid").distinct().join(classes.select("cid", "n", "sig"), "cid").join(own, "cid", "left").select("cid", "n", "sig", F.coalesce("u", F.lit(0)).alias("u")), "facts")
-    rows = written(rows, "blocks").join(facts, "cid").select("key", "i", "j", "mine", "cid", "root", "n", "sig", "u")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def agree(batches):
+    dealt = rows.select("a", "i", "j", "mine", "b", "root", "na", "nb", "lacks", "lists").repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+
+    def decide(at, held):
+        left, right = [r for r in held if r[0] == at[1]], [r for r in held if r[0] == at[2]]
+        if not left or not right or len({r[2] for r in held}) < 2:
+            return None
+        lists = lambda part: [np.frombuffer(r[6], np.int64) for r in part]
+        column = lambda part, f: np.array([r[f] for r in part], np.int64)
+        both = held[0][3] - column(left, 5)[:, None] - column(right, 5) + _products(lists(left), lists(right)).astype(np.int64)
+        ok = 100 * both >= percent * (column(left, 4)[:, None] + column(right, 4) - both)
+        x, y = np.nonzero(ok & (column(left, 2)[:, None] != column(right, 2)))
+        if not len(x):
+            return None
+        _, one = np.unique(np.stack([column(left, 2)[x], column(right, 2)[y]]), axis=1, return_index=True)
+        return pa.RecordBatch.from_pydict({"a": pa.array(column(left, 1)[x[one]]), "b": pa.array(column(right, 1)[y[one]])})
+
+    def blocks(batches):
         at, held = None, []
-
-        def pairs():
-            left = [r for r in held if r[0] == at[1]]
-            right = [r for r in held if r[0] == at[2]]
-            if len(held) < 2 or not left or not right:
-                return None
-            cid, root = (np.array([r[f] for r in right], np.int64) for f in (1, 2))
-            n, shared = np.array([r[3] for r in right]), np.array([r[3] - r[5] for r in right])
-            sig = np.frombuffer(b"".join(r[4] for r in right), "<u4").reshape(len(right), -1)
-            got = [[], []]
-            for r in left:
-                most = np.minimum(shared, r[3] - r[5])  # of the intersection
-                ok = (root != r[2]) & (100 * most >= percent * (n + r[3] - most))
-                if at[1] == at[2]:
-                    ok &= cid > r[1]
-                ok = np.flatnonzero(ok)
-                if len(ok):
-                    ok = ok[(sig[ok] == np.frombuffer(r[4], "<u4")).sum(axis=1) >= AGREE * REGISTERS]
-                    got[0] += [r[1]] * len(ok)
-                    got[1] += cid[ok].tolist()
-            return pa.RecordBatch.from_pydict({"c": pa.array(got[0], pa.int64()), "x": pa.array(got[1], pa.int64())}) if got[0] else None
-
         for batch in batches:
-            for row in zip(*(batch.column(f).to_pylist() for f in range(9))):
+            for row in zip(*(batch.column(f).to_pylist() for f in range(10))):
                 if row[:3] != at:
-                    if at and (out := pairs()):
+                    if at and (out := decide(at, held)):
                         yield out
                     at, held = row[:3], []
                 held.append(row[3:])
-        if at and (out := pairs()):
+        if at and (out := decide(at, held)):
             yield out
 
-    both = dealt.mapInArrow(agree, "c long, x long")
-    return written(both.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct(), "rest")
+    return written(dealt.mapInArrow(blocks, "a long, b long").distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash): component_id is the smallest doc_id reachable over links, kept whether it is the
-    document's own. The bands and the agreement asked for hold for percent of 80 or more."""
+    document's own. The bands hold for percent of 80 or more."""
     if percent < 80:
         raise ValueError("bands are laid out for similarities of 0.8 or more")
     spark = docs.sparkSession
@@ -201,14 +183,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     buckets = memberships(classes)
     release(spark)
     pairs = star_pairs(buckets)
+    release(spark, buckets)
     checked = verified(docs, classes, pairs, k, percent, doc_id, text)
     links = checked.filter("linked").select("a", "b")
     found = components(links)
-    rest = rest_pairs(buckets, classes, checked, found, percent)
-    release(spark, buckets)
+    rest = rest_links(checked, found, percent)
     if not rest.isEmpty():
-        more = verified(docs, classes, rest, k, percent, doc_id, text)
-        found = components(links.union(more.filter("linked").select("a", "b")))
+        found = components(links.union(rest))
     at = classes.select("cid", "rep").join(found, classes["cid"] == found["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     at = written(at, "roots")
     least = written(at.groupBy("root").agg(F.min("rep").alias("component")), "least")
