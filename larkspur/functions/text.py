@@ -39,7 +39,7 @@ def without_title(text: Column, title: Column) -> Column:
 
 def price(x: Column) -> Column:
     """log1p of one more than the price; null counts as -1 and negatives as 0."""
-    return F.log1p(F.coalesce(F.greatest(x, F.lit(0.0)), F.lit(-1.0)) + 1)
+    return F.log1p(F.when(x.isNull(), F.lit(-1.0)).otherwise(F.greatest(x, F.lit(0.0))) + 1)
 
 
 def hash_bucket(hex_id: Column, buckets: int = 1000) -> Column:
