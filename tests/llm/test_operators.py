@@ -105,7 +105,7 @@ def test_sharding(spark, docs, none):
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == n
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == {s for _, s in want}  # a text longer than a shard leaves one empty
     assert sharding.shard(none, n, size).count() == 0
     same = spark.createDataFrame([(i, "copy" * 50, "s") for i in range(400)], SCHEMA)
     per = Counter(r.shard for r in sharding.shard(same, 4, size).collect())
