@@ -55,7 +55,7 @@ class DuckDB:
 
     @staticmethod
     def joined(e: str, order: str) -> str:
-        return f"string_agg(cast({e} as varchar), ' ' order by {order})"
+        return f"string_agg(cast({e} as varchar), ' ' order by {order}, {e})"
 
     @staticmethod
     def size(e: str) -> str:
