@@ -86,7 +86,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     heads = centres.select(F.col("c").alias("cid"), "c", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("part"), F.lit(0).alias("member"))
     roles = written(members.union(heads), "roles").join(classes.select("cid", "rep"), "cid")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("rep"), F.col(text).cast("string").cast("binary").alias("text"))
-    dealt = rows.join(written(roles, "roles-by-doc"), "rep").select("c", "part", "member", "cid", "text").repartition("c", "part").sortWithinPartitions("c", "part", "member")
+    # roles grow with the corpus: never broadcast, whatever their size
+    dealt = rows.join(written(roles, "roles-by-doc").hint("merge"), "rep").select("c", "part", "member", "cid", "text").repartition("c", "part").sortWithinPartitions("c", "part", "member")
 
     def compare(batches):
         from larkspur.llm.shingles import beyond, set_keys, shingle_sets
