@@ -99,10 +99,8 @@ def prefixes(rows: np.ndarray) -> np.ndarray:
     """Common prefix of each row with the one before it; 0 for the first."""
     out = np.zeros(len(rows), np.int64)
     for at in range(1, len(rows), 4096):
-        a, b = rows[at - 1 : at + 4095][:-1] if at + 4095 < len(rows) else rows[at - 1 : -1], rows[at : at + 4096]
-        a = a[: len(b)]
-        b = b[: len(a)]
-        differs = a != b
+        b = rows[at : at + 4096]
+        differs = rows[at - 1 : at - 1 + len(b)] != b
         out[at : at + len(b)] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
     return out
 

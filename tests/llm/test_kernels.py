@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,6 +124,32 @@ def test_loser_tree_merges_and_keeps_common_prefixes():
     assert all(l == suffixes.common(a, b, 0) for (a, _), (b, l) in zip(got, got[1:]))
 
 
+def plain_prefixes(rows):
+    return [suffixes.common(bytes(a), bytes(b), 0) if i else 0 for i, (a, b) in enumerate(zip(rows[:1].tolist() + rows.tolist(), rows.tolist()))]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4096, 4097, 4098, 8193, 9000])
+def test_prefixes_against_a_plain_loop(n):
+    rows = np.random.default_rng(7).integers(97, 99, (n, 8), dtype=np.uint8)
+    rows = rows[suffixes.sort_run(rows)]
+    assert suffixes.prefixes(rows).tolist() == plain_prefixes(rows)
+
+
+@pytest.mark.parametrize("left_first", [False, True])
+def test_repeated_across_blocks_against_a_plain_count(left_first):
+    n, prime, rest = 9000, *((suffixes.LEFT, suffixes.RIGHT) if left_first else (suffixes.RIGHT, suffixes.LEFT))
+    # places 2i - 1 and 2i differ in their last sorted byte only, and all other sides are equal
+    rows = np.frombuffer(b"".join(b"%04d" % ((i + 1) // 2) + b"m" * (prime - 5) + b"ab"[i % 2 == 0 :][:1] + b"o" * rest for i in range(n)), np.uint8).reshape(n, -1)
+    low, high = np.full(n, 97 if left_first else 0), np.full(n, 100 if left_first else 3)
+    got = suffixes.repeated(np.array(plain_prefixes(rows[:, :prime])), rows, low, high, left_first)
+    for d in range(low[0], high[0] + 1):
+        mine = d if left_first else suffixes.LENGTH - d
+        windows = [bytes(r[:mine]) + bytes(r[prime : prime + suffixes.LENGTH - mine]) for r in rows]
+        times = Counter(windows)
+        assert got[:, d].tolist() == [times[w] > 1 for w in windows]
+    assert got[4096].any() and got[8192].any()
+
+
 def test_em_learns_which_rules_to_trust():
     rng = random.Random(6)
     seen, truth = {}, {}
