@@ -1,19 +1,21 @@
 """Token ids on disk: every id in the fewest bits the vocabulary needs, with block offsets.
 
-File (little-endian): ``MAGIC``, then uint64s: bits, documents, ids, ids in a block, blocks; then the
-documents' ids (int64), whether each is null (uint8), where each starts (int64, one more at the end),
-each block's byte offset in the payload (int64), and the payload. A block holds ``BLOCK_IDS`` ids and
-starts at a byte, so any range of ids is found by one offset and unpacked with numpy alone.
-
-Parts are cut by ranges of doc_id, null first, and written in ascending order (rows with one id: by
-text); a manifest has each part's place in the whole. A part is written under another name and then
-renamed, so a task that runs again leaves the same file. Null texts are empty; repeated rows are
-written each by itself; an empty table gives parts without documents.
+File (little-endian): ``MAGIC``, the payload's blocks, then the index: the documents' ids (int64), whether each is null
+(uint8), where each starts (int64, one more at the end) and each block's byte offset in the payload (int64); last
+uint64s: bits, documents, ids, ids in a block, blocks. A block holds ``BLOCK_IDS`` ids and starts at a byte, so any range of
+ids is found by one offset and unpacked with numpy alone. Blocks go to the file as they fill, so a writer holds one block
+and the index of its part.
+
+Parts are cut by ranges of about ``PART_BYTES`` of text and written in ascending doc_id order, null first (rows with one id: by
+a hash of the text, then the text, in all parts alike); a manifest has each part's place in the whole. A part is written under
+another name and then renamed, so a task that runs again leaves the same file. Null texts are empty; repeated rows are
+written each by itself; very long texts span blocks; an empty table gives parts without documents.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 
@@ -26,6 +28,7 @@ from larkspur.llm.common import new_path, partitions
 
 MAGIC = b"LKBITS01"
 BLOCK_IDS = 1 << 16
+PART_BYTES = 1 << 27
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -55,13 +58,20 @@ def _files(uri: str):
 
 
 class PartWriter:
-    """Packs blocks as they fill; of a part only its packed blocks are held, until close()."""
+    """Packs blocks and writes them as they fill; of a part only the open block and the index are held."""
 
-    def __init__(self, bits: int):
+    def __init__(self, uri: str, bits: int, attempt: str):
         self.bits, self.docs, self.null, self.starts = bits, [], [], [0]
-        self.blocks, self.open, self.pending = [], [], 0
+        self.offsets, self.open, self.pending = [0], [], 0
+        self.files, self.path = _files(uri)
+        self.files.create_dir(os.path.dirname(self.path), recursive=True)
+        self.temporary = f"{self.path}.{attempt}"
+        self.stream = self.files.open_output_stream(self.temporary)
+        self.stream.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"id {ids.max()} needs more than {self.bits} bits")
         self.docs.append(doc_id or 0)
         self.null.append(doc_id is None)
         self.starts.append(self.starts[-1] + len(ids))
@@ -74,24 +84,19 @@ class PartWriter:
         ids = np.concatenate(self.open) if self.open else np.zeros(0, "<u4")
         at = 0
         while len(ids) - at >= max(1, least):
-            self.blocks.append(pack_bits(ids[at : at + BLOCK_IDS], self.bits))
+            block = pack_bits(ids[at : at + BLOCK_IDS], self.bits)
+            self.stream.write(block)
+            self.offsets.append(self.offsets[-1] + len(block))
             at += BLOCK_IDS
-        self.open, self.pending = [ids[at:]], max(0, len(ids) - at)
+        self.open, self.pending = [ids[at:].copy()], max(0, len(ids) - at)
 
-    def close(self, uri: str, attempt: str) -> int:
+    def close(self) -> int:
         self._cut(1)
-        files, path = _files(uri)
-        files.create_dir(os.path.dirname(path), recursive=True)
-        with files.open_output_stream(f"{path}.{attempt}") as f:
-            f.write(MAGIC)
-            f.write(np.array([self.bits, len(self.docs), self.starts[-1], BLOCK_IDS, len(self.blocks)], "<u8").tobytes())
-            f.write(np.array(self.docs, "<i8").tobytes())
-            f.write(np.array(self.null, "u1").tobytes())
-            f.write(np.array(self.starts, "<i8").tobytes())
-            f.write(np.cumsum([0, *map(len, self.blocks)], dtype="<i8").tobytes())
-            for block in self.blocks:
-                f.write(block)
-        files.move(f"{path}.{attempt}", path)
+        for values, kind in ((self.docs, "<i8"), (self.null, "u1"), (self.starts, "<i8"), (self.offsets, "<i8")):
+            self.stream.write(np.array(values, kind).tobytes())
+        self.stream.write(np.array([self.bits, len(self.docs), self.starts[-1], BLOCK_IDS, len(self.offsets) - 1], "<u8").tobytes())
+        self.stream.close()
+        self.files.move(self.temporary, self.path)
         return self.starts[-1]
 
 
@@ -103,12 +108,15 @@ class PartReader:
         self.file = files.open_input_file(path)
         if self.file.read(8) != MAGIC:
             raise ValueError(f"not a packed part: {uri}")
+        end = self.file.size() - 40
+        self.file.seek(end)
         self.bits, n, self.n_ids, self.block_ids, blocks = map(int, np.frombuffer(self.file.read(40), "<u8"))
+        self.file.seek(end - 8 * n - n - 8 * (n + 1) - 8 * (blocks + 1))
         self.docs = np.frombuffer(self.file.read(8 * n), "<i8")
         self.null = np.frombuffer(self.file.read(n), "u1")
         self.starts = np.frombuffer(self.file.read(8 * (n + 1)), "<i8")
         self.offsets = np.frombuffer(self.file.read(8 * (blocks + 1)), "<i8")
-        self.payload = self.file.tell()
+        self.payload = len(MAGIC)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if b <= a:
@@ -139,16 +147,19 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, out: str | None = None
 
         task = TaskContext.get()
         part, enc = task.partitionId(), encoder(path)
-        end, to = np.array([end_id], enc.dtype).tobytes(), PartWriter(max(1, (enc.vocab_size - 1).bit_length()))
+        uri = f"{out}/part-{part:06d}.bits"
+        end, to = np.array([end_id], enc.dtype).tobytes(), PartWriter(uri, max(1, max(enc.largest, end_id).bit_length()), str(task.taskAttemptId()))
         for batch in batches:
             for doc, s in zip(batch.column(0).to_pylist(), batch.column(1)):
                 to.add(doc, np.frombuffer(enc.encode(s.as_py() or "") + end, enc.dtype))
-        uri = f"{out}/part-{part:06d}.bits"
-        n = to.close(uri, str(task.taskAttemptId()))
+        n = to.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [uri], "n_docs": [len(to.docs)], "n_ids": [n]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    by = ("doc_id", F.xxhash64("text"))
+    # equal rows may lie in several parts: which of them is which doesn't matter
+    ranged = rows.repartitionByRange(max(partitions(spark), math.ceil(size / PART_BYTES)), *by, F.monotonically_increasing_id()).sortWithinPartitions(*by, "text")
     parts = ranged.mapInArrow(write, "part long, path string, n_docs long, n_ids long").collect()  # a row for each partition
     before, lines = 0, []
     for r in sorted(parts, key=lambda r: r.part):

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,6 +45,17 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written with a number of its own for every row, equal rows included: numbers are fixed once the table is."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def text_names(text) -> list:
+    """Two 64-bit hashes that together name a text."""
+    t = F.col(text).cast("string")
+    return [F.xxhash64(t), F.xxhash64(F.lit(29), F.octet_length(t), t)]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

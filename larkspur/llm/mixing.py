@@ -5,8 +5,9 @@ is w. A source's share of its cumulative demand by time t is then t + a * (t * t
 training position of the source's x-th token, and documents are range-sorted by position. A source that must
 give more than it has is run through again, up to ``MAX_TIMES``.
 
-Everything is DataFrame operations. Sums before a document are taken in two levels (1024 hash buckets of a
-source, then inside a bucket), so no source is handled by one task. Null texts have size 0; null is a
+Everything is DataFrame operations. Sums before a document are taken in two levels (hash buckets of a source, as many as
+leave about ``BUCKET_DOCS`` documents of the corpus in each, then inside a bucket), so no source is handled by one task. Ties in
+the order of a source go to the smaller doc_id, then the smaller size; equal rows may stand in any order, as they take alike. Null texts have size 0; null is a
 source of its own, last; repeated rows each count; an empty table gives no rows. Columns named as the
 result's own are replaced.
 """
@@ -20,7 +21,8 @@ WEIGHTS = (5, 2, 1)
 #: Slope of each weight's schedule: heavy sources lead, light ones come late.
 SLOPES = (-0.5, 0.0, 0.5)
 MAX_TIMES = 2
-BUCKET_BITS = 50  # of a 60-bit hash: 1024 buckets
+#: Documents in a bucket, if one source had them all; hashes have 60 bits.
+BUCKET_DOCS, HASH_BITS = 4096, 60
 
 OWN = ("size", "source_size", "target", "taken", "first_position", "second_position")
 
@@ -54,12 +56,15 @@ def position(x: Column, demand: Column, slope: Column) -> Column:
     return F.round(2 * u / (b + F.sqrt(b * b + 4 * slope * u)), 9)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", words: Column | None = None) -> DataFrame:
     """docs with size, source_size, target, taken (words taken, repeats counted) and the positions of their first and
-    second run (null if not taken). In a source documents stand in a fixed random order, by a hash of doc_id."""
+    second run (null if not taken). In a source documents stand in a fixed random order, by a hash of doc_id. words: the
+    documents' word counts, if they are known."""
     key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string")))
-    x = docs.drop(*OWN, "src", "h", "bucket").withColumn("size", word_count(text)).withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))  # '' is null
-    x = x.withColumn("h", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).withColumn("bucket", F.shiftright("h", BUCKET_BITS).cast("int"))
+    x = docs.withColumn("__size", word_count(text) if words is None else words).drop(*OWN, "src", "h", "bucket").withColumnRenamed("__size", "size")
+    bits = max(0, HASH_BITS - max(1, docs.count() // BUCKET_DOCS).bit_length())
+    x = x.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))  # '' is null
+    x = x.withColumn("h", F.conv(F.substring(key, 1, 15), 16, 10).cast("long")).withColumn("bucket", F.shiftright("h", bits).cast("int"))
     sums = x.groupBy("src", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = targets(sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size")))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,11 +89,13 @@ def in_order(mixed: DataFrame, doc_id: str = "doc_id", position: str = "first_po
 
 def placements(mixed: DataFrame, text: str = "text") -> DataFrame:
     """A row for each run of a document, at its position, with the words that run takes: a document that
-    the demand ends in is cut after its last taken word."""
+    the demand ends in is cut after its last taken word, the text before that as it is."""
     runs = F.array(
         F.struct(F.col("first_position").alias("position"), F.least("taken", "size").alias("words")),
         F.struct(F.col("second_position").alias("position"), (F.col("taken") - F.col("size")).alias("words")),
     )
     x = mixed.withColumn("run", F.explode(F.filter(runs, lambda r: r["words"] > 0))).withColumn("position", F.col("run.position")).withColumn("words", F.col("run.words"))
-    cut = F.array_join(F.slice(F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), ""), 1, F.col("words").cast("int")), " ")
+    blank = r"[\x20\x09-\x0D]+"
+    rest = F.element_at(F.split(F.col(text), blank, F.col("words").cast("int") + 1 + F.col(text).rlike("^" + blank).cast("int")), -1)  # from the first word left out
+    cut = F.rtrim(F.left(F.col(text), F.length(text) - F.length(rest)), F.lit(" \t\n\x0b\x0c\r"))
     return x.withColumn(text, F.when(F.col("words") >= F.col("size"), F.col(text)).otherwise(cut)).drop("run")

@@ -34,7 +34,7 @@ def op3_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80).drop("text_hash")
+    return near_dups.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

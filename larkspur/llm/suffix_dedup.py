@@ -1,5 +1,7 @@
 """Removal of every byte that a repeated string of 200 bytes covers, by a sparse suffix array built with a distributed merge sort.
 
+0. Equal texts are one text with two 64-bit names; a text that several rows have is a repeat as a whole if it has 200 bytes. All
+   steps below see each text once, so n equal rows cost n small rows and not n contexts of each anchor.
 1. Anchors (see ``suffixes``) whose 100 bytes occur once in the corpus can't be in a repeat; hashes of the others' 100 bytes,
    counted with partial sums, leave those that may be.
 2. Each task cuts the contexts of its documents' remaining anchors out of the texts, sorts them and front-codes the sorted run in
@@ -10,8 +12,12 @@
    Windows whose equals may lie in another range (they agree with a splitter to the depth in question) go through steps 2 to 4
    again with left contexts first; the few that agree with both kinds of splitter are counted by 128-bit hashes.
 
+So all but those few windows, and the equality of texts, are decided on bytes; these two are decided on 128 bits. The driver holds
+``OVERSAMPLE`` keys of 304 bytes for every ``RANGE`` contexts.
+
 Matches never cross documents. Null texts are empty. Repeated rows are copies of each other, so their bytes go. Texts of fewer than 200 bytes
-keep all. An empty table gives no rows. Columns named as the result's own are replaced.
+keep all. Very long texts are cut into overlapping pieces and keep their places. Ties between equal contexts go by a hash of the place
+and decide nothing. An empty table gives no rows. Columns named as the result's own are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import partitions, release, written
+from larkspur.llm.common import partitions, release, text_names, written
 from larkspur.llm.suffixes import LEFT, LENGTH, RIGHT
 
-RUN, BLOCK, RANGE, OVERSAMPLE = 100_000, 256, 50_000, 32
-FIELDS = 4  # of a context: document's row hash, place, least d, greatest d
+RUN, BLOCK, RANGE, OVERSAMPLE = 100_000, 256, 50_000, 8
+#: Texts whose names a task remembers, so that it sends copies once; rows of one document are dealt to so many salts.
+SEEN, SALTS = 200_000, 16
+FIELDS = 4  # of a context: text's number, place, least d, greatest d
 BLOCK_SCHEMA = "first binary, last binary, n long, payload binary"
 FOUND_SCHEMA = "kind int, rid long, lo long, hi long, h1 long, h2 long, first binary, last binary, n long, payload binary"
 SPANS, BLOCKS, WINDOWS = 0, 1, 2
@@ -38,40 +46,58 @@ def _found(kind: int, count: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(count, kind), pa.int32())} | {c: pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in kinds.items()})
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("__t", t).withColumn("__rid", F.xxhash64(F.col(doc_id), F.col("__t")))
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    x = docs.withColumn("__s", t)
+    h1, h2 = text_names("__s")
+    return x.withColumn("__h1", h1).withColumn("__h2", h2).withColumn("__t", F.col("__s").cast("binary")).drop("__s")
+
+
+def _fresh(seen: set, batch: pa.RecordBatch, at: int) -> list[int]:
+    """Rows of the batch whose text this task hasn't had; columns at and at + 1 name it."""
+    if len(seen) > SEEN:
+        seen.clear()
+    out = []
+    for i, name in enumerate(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())):
+        if name not in seen:
+            seen.add(name)
+            out.append(i)
+    return out
 
 
 def repeated_grams(keyed: DataFrame) -> DataFrame:
-    """Hashes of the 100-byte strings at anchors that occur twice or more."""
+    """Hashes of the 100-byte strings at anchors that occur twice or more. Copies that several tasks have count as well."""
 
     def count(batches):
         from larkspur.llm.suffixes import anchors, pieces
 
+        seen = set()
         for batch in batches:
-            for held in pieces([x or b"" for x in batch.column(0).to_pylist()], 1 << 21):
+            texts = batch.column(2)
+            for held in pieces([texts[i].as_py() or b"" for i in _fresh(seen, batch, 0)], 1 << 21):
                 gram, n = np.unique(anchors(held)[4].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(gram), "n": pa.array(n, pa.int64())})
 
-    part = keyed.select("__t").mapInArrow(count, "gram long, n long")
+    part = keyed.select("__h1", "__h2", "__t").mapInArrow(count, "gram long, n long")
     return written(part.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
 
 
 def candidates(keyed: DataFrame, grams: DataFrame) -> DataFrame:
-    """(rid, places): for each document its anchors whose 100 bytes occur again; place, least and greatest d in one number."""
+    """(h1, h2, places): for each text its anchors whose 100 bytes occur again; place, least and greatest d in one number."""
 
     def find(batches):
         from larkspur.llm.suffixes import anchors, pieces, whole
 
+        seen = set()
         for batch in batches:
-            rids, texts = batch.column(0).to_numpy(), [x or b"" for x in batch.column(1).to_pylist()]
-            for held in pieces(texts, 1 << 21):
+            new = np.array(_fresh(seen, batch, 0), np.int64)
+            h1, h2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for held in pieces([texts[i].as_py() or b"" for i in new.tolist()], 1 << 21):
                 doc, place, low, high, gram = whole(*anchors(held))
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "rid": pa.array(rids[doc]), "place": pa.array(place << 14 | low << 7 | high)})
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "h1": pa.array(h1[new[doc]]), "h2": pa.array(h2[new[doc]]), "place": pa.array(place << 14 | low << 7 | high)})
 
-    rows = keyed.select("__rid", "__t").mapInArrow(find, "gram long, rid long, place long")
-    return written(rows.join(grams, "gram").groupBy("rid").agg(F.collect_list("place").alias("places")), "anchors")
+    rows = keyed.select("__h1", "__h2", "__t").mapInArrow(find, "gram long, h1 long, h2 long, place long")
+    return written(rows.join(grams, "gram").groupBy("h1", "h2").agg(F.collect_set("place").alias("places")), "anchors")
 
 
 def _tie(rid: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -92,37 +118,43 @@ def _run_blocks(rows: np.ndarray, meta: np.ndarray):
 
 
 def runs(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """Front-coded blocks of sorted runs of contexts, right context first."""
+    """Front-coded blocks of sorted runs of contexts, right context first, and a row for each text's number (n, payload null) and name.
+    Each text counts once; its number is this task's and stands in the table with the blocks that use it."""
 
     def cut(batches):
         from larkspur.llm.suffixes import contexts
 
-        rows, meta, size = [], [], 0
+        from pyspark import TaskContext
+
+        rows, meta, size, number = [], [], 0, TaskContext.get().partitionId() << 32
 
         def flush():
             if size:
                 got = list(zip(*_run_blocks(np.concatenate(rows), np.concatenate(meta))))
-                yield pa.RecordBatch.from_pydict({"first": pa.array(got[0], pa.binary()), "last": pa.array(got[1], pa.binary()), "n": pa.array(got[2], pa.int64()), "payload": pa.array(got[3], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"first": pa.array(got[0], pa.binary()), "last": pa.array(got[1], pa.binary()), "n": pa.array(got[2], pa.int64()), "payload": pa.array(got[3], pa.binary()), "h1": pa.nulls(len(got[0]), pa.int64()), "h2": pa.nulls(len(got[0]), pa.int64())})
 
         for batch in batches:
-            rids = batch.column(0).to_numpy()
+            no = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_pydict({"first": no, "last": no, "n": pa.array(np.arange(number, number + batch.num_rows)), "payload": no, "h1": batch.column(0), "h2": batch.column(1)})
             for i in range(batch.num_rows):
-                packed = np.asarray(batch.column(1)[i].values)
-                text = batch.column(2)[i].as_py()
+                packed = np.sort(np.asarray(batch.column(2)[i].values))
+                text = batch.column(3)[i].as_py()
                 for at in range(0, len(packed), RUN):
                     part = packed[at : at + RUN]
                     place = part >> 14
-                    m = np.stack([np.full(len(part), rids[i]), place, part >> 7 & 127, part & 127], axis=1).astype(np.int64)
+                    m = np.stack([np.full(len(part), number), place, part >> 7 & 127, part & 127], axis=1).astype(np.int64)
                     rows.append(np.concatenate([contexts(text, place), _tie(m[:, 0], place)], axis=1))
                     meta.append(m)
                     size += len(part)
                     if size >= RUN:
                         yield from flush()
                         rows, meta, size = [], [], 0
+                number += 1
         yield from flush()
 
-    joined = keyed.select("__rid", "__t").join(places, keyed["__rid"] == places["rid"]).select("rid", "places", "__t")
-    return written(joined.mapInArrow(cut, BLOCK_SCHEMA), "runs")
+    texts = keyed.groupBy(F.col("__h1").alias("h1"), F.col("__h2").alias("h2")).agg(F.first("__t").alias("t"))
+    joined = texts.join(places.hint("merge"), ["h1", "h2"]).select("h1", "h2", "places", "t")
+    return written(joined.mapInArrow(cut, f"{BLOCK_SCHEMA}, h1 long, h2 long"), "runs")
 
 
 def splitters(blocks: DataFrame) -> list[bytes]:
@@ -301,21 +333,32 @@ def _decide(keys, lcps, meta, low, high, left_first):
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """(rid, spans): the byte spans of each document that repeated strings cover."""
+    """(h1, h2, spans): the byte spans of each text that strings cover which occur elsewhere in it or in another text."""
     spark = keyed.sparkSession
     grams = repeated_grams(keyed)
     places = candidates(keyed, grams)
     release(spark, grams)
-    blocks = runs(keyed, places)
+    made = runs(keyed, places)
     release(spark, places)
-    once = resolved(blocks, left_first=False)
-    release(spark, blocks)
+    names = written(made.filter("payload is null").select(F.col("n").alias("rid"), "h1", "h2"), "names")
+    once = resolved(made.filter("payload is not null").select("first", "last", "n", "payload"), left_first=False)
+    release(spark, made)
     twice = resolved(once.filter(F.col("kind") == BLOCKS), left_first=True)
     windows = twice.filter(F.col("kind") == WINDOWS)
     asked = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1")
     late = windows.select("h1", "h2", "rid", "lo", "hi").join(written(asked, "windows"), ["h1", "h2"]).select("rid", "lo", "hi")
     spans = once.union(twice).filter(F.col("kind") == SPANS).select("rid", "lo", "hi").union(late)
-    return spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(names, "rid").select("h1", "h2", "spans")
+
+
+def _fates(keyed: DataFrame, salt) -> DataFrame:
+    """(h1, h2, salt, copied, spans) of texts that may lose bytes: copied ones for every salt, the others for their row's."""
+    rows = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), salt.alias("salt"), F.length("__t").alias("size")).filter(f"size >= {LENGTH}")
+    texts = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("salt").alias("salt"))
+    both = written(texts, "texts").join(repeats(keyed), ["h1", "h2"], "left").filter("n > 1 or spans is not null")
+    copied = F.col("n") > 1
+    salts = F.when(copied, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array("salt"))
+    return both.select("h1", "h2", F.explode(salts).alias("salt"), copied.alias("copied"), F.when(~copied, F.col("spans")).alias("spans"))
 
 
 def cut_text(text: bytes, lo: np.ndarray, hi: np.ndarray, whole_characters: bool) -> tuple[bytes, list[tuple[int, int]]]:
@@ -344,22 +387,25 @@ def cut_text(text: bytes, lo: np.ndarray, hi: np.ndarray, whole_characters: bool
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """docs with kept_bytes (the remaining bytes), n_bytes, n_removed, n_spans and kept_sha256."""
-    own = ["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256", "__t", "__rid", "__spans", "rid"]
-    keyed = _keyed(docs.drop(*own), doc_id, text)
-    spans = repeats(keyed)
-    joined = keyed.join(spans.withColumnRenamed("spans", "__spans"), keyed["__rid"] == spans["rid"], "left").drop("rid", "__rid")
-    names = [c for c in joined.columns if c not in ("__t", "__spans")]
+    own = ["kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    keyed = _keyed(docs.drop(*own), text)
+    salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
+    fates = _fates(keyed, salt).withColumnsRenamed({"h1": "__h1", "h2": "__h2", "salt": "__salt", "copied": "__copied", "spans": "__spans"})
+    joined = keyed.withColumn("__salt", salt).join(fates, ["__h1", "__h2", "__salt"], "left")
+    names = [c for c in keyed.columns if c not in ("__t", "__h1", "__h2")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*names).schema)
     columns = "kept_bytes binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(batches):
         for batch in batches:
-            spans_, texts = batch.column(len(names)), batch.column(len(names) + 1)
+            spans_, texts, copied = (batch.column(len(names) + j) for j in range(3))
             for at in range(0, batch.num_rows, 256):
                 kept, counts = [], []
-                for s, t in zip(spans_.slice(at, 256), texts.slice(at, 256)):
+                for s, t, c in zip(spans_.slice(at, 256), texts.slice(at, 256), copied.slice(at, 256)):
                     raw = t.as_py()
-                    if s.is_valid:
+                    if c.as_py():
+                        left, gone = b"", [(0, len(raw))]
+                    elif s.is_valid:
                         lo, hi = (np.asarray(s.values.field(k)) for k in (0, 1))
                         left, gone = cut_text(raw, lo, hi, whole_characters)
                     else:
@@ -369,4 +415,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(kept, pa.binary()), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array([c[3] for c in counts], pa.string())], names=[*names, "kept_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.select(*names, "__spans", "__t").mapInArrow(cut, f"{schema}, {columns}")
+    return joined.select(*names, "__spans", "__t", "__copied").mapInArrow(cut, f"{schema}, {columns}")

@@ -2,7 +2,8 @@
 
 Each Python task counts the lengths it has seen and sends one row for each length, so the shuffle
 grows with distinct lengths and not with documents. Null and empty texts have length 0; repeated
-rows count each time; other columns are ignored; an empty table gives an empty histogram.
+rows count each time; other columns are ignored; an empty table gives an empty histogram. The histogram is written once, so
+the corpus is encoded once however often it is read; very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import written
+
 #: Lengths in a block of the suffix sums; blocks are summed apart, so no task sees the whole histogram.
 BLOCK = 4096
 
@@ -31,7 +34,7 @@ def length_histogram(docs: DataFrame, path: str, text: str = "text") -> DataFram
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
     part = docs.select(F.col(text).cast("string")).mapInArrow(count, "length long, n long")
-    return part.groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return written(part.groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

@@ -46,6 +46,8 @@ class WordEncoder:
         self.dropped = kinds == ["Split", "ByteLevel"] and steps[0].get("behavior") == "Removed" and norms == ["NFC", "Replace", "Lowercase"] and not steps[1].get("use_regex")
         self.letters = _byte_letters()
         self.marks = {m: self.raw(m) if m else b"" for m in ("", ".", ",")}
+        self.line = self.raw("\n")
+        self.largest = max(self.tokenizer.get_vocab().values())
         self.words: dict[str, bytes] = _Words(self)
 
     def raw(self, text: str) -> bytes:
@@ -58,7 +60,7 @@ class WordEncoder:
     def word(self, word: str) -> bytes:
         """Ids of a word with a space before it; of one that starts with a line end, of both without."""
         if word[:1] == "\n":
-            return self.raw("\n") + self._plain(word[1:], "")
+            return self.line + self._plain(word[1:], "")
         return self._plain(word, " " if self.spaced else "")
 
     def _plain(self, word: str, before: str) -> bytes:

@@ -85,10 +85,10 @@ def test_bits_round_trip(bits, tmp_path):
     ids = rng.integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
     raw = bitpack.pack_bits(ids, bits)
     assert len(raw) == -(-1000 * bits // 8) and (bitpack.unpack_bits(raw, 1000, bits) == ids).all()
-    w, parts = bitpack.PartWriter(bits), [rng.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32) for n in (0, 3, 70_000, 150_000, 1)]
+    w, parts = bitpack.PartWriter(f"file://{tmp_path}/x/part.bits", bits, "1"), [rng.integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32) for n in (0, 3, 70_000, 150_000, 1)]
     for i, p in enumerate(parts):
         w.add(None if i == 1 else i, p)
-    w.close(f"file://{tmp_path}/x/part.bits", "1")
+    w.close()
     r = bitpack.PartReader(f"file://{tmp_path}/x/part.bits")
     assert r.null.tolist() == [0, 1, 0, 0, 0] and all((r.document(i) == p).all() for i, p in enumerate(parts))
     whole = np.concatenate(parts)
