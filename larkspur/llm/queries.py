@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bitpack, licenses, mixing, near_dups, packing, quality, sharding, suffix_dedup, token_counts, topk
-from larkspur.llm.common import read
+from larkspur.llm.common import read, written
 
 SHARDS = 24
 
@@ -38,7 +38,9 @@ def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = read(spark, sf_dir, "documents")
+    sized = written(docs.select("doc_id", "source", mixing.word_count("text").alias("words")), "sizes")  # both passes need the counts
+    mixed = mixing.mix(sized, words=F.col("words"))
     out = mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_position", "second_position")
     return mixing.in_order(out)
 
@@ -73,22 +75,17 @@ def _words_sql(text: str) -> str:
 
 
 def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     vocabulary = licenses.index_words(licenses.TEMPLATES)
-    names = ", ".join(f"'{w}'" for w in vocabulary)
-    parts = []
-    for t in licenses.TEMPLATES:
-        k, at = t.key_words, t.key_at
-        phrase = "[" + ", ".join(f"'{w}'" for w in k) + "]"
-        weighed = [(j, w) for j, w in enumerate(t.words) if w in vocabulary]
-        place = lambda j: f"case when s + {j - at} >= 1 then w[s + {j - at}] end"
-        share = " + ".join(f"case when {place(j)} = '{w}' then idf['{w}'] else 0.0 end" for j, w in weighed)
-        total = " + ".join(f"idf['{w}']" for _, w in weighed)
-        parts.append(f"select doc_id, cast(s - 1 as bigint) as start, '{t.label}' as label, {str(t.base).lower()} as base, ({share}) / ({total}) as share from (select doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{k[0]}' and w[i : i + {len(k) - 1}] = {phrase})) as s from d), weights")
+    rows = ", ".join(f"('{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {quoted(t.key_words)}, {t.key_at})" for t in licenses.TEMPLATES)
     return f"""
-with d as materialized (select doc_id, {_words_sql("lower")} as w from documents),
-df as (select u.x as x, count(*) as n from d, unnest(list_distinct(list_filter(w, lambda y: y in ({names})))) as u(x) group by 1),
-weights as (select map_from_entries(list((v.x, ln(((select count(*) from d) + 1) / (coalesce(df.n, 0) + 1)) + 1))) as idf from (select unnest([{names}]) as x) v left join df using (x)),
-m as materialized ({" union all ".join(parts)}),
+with t(label, base, words, key, lead) as (values {rows}),
+d as materialized (select doc_id, {_words_sql("lower")} as w from documents),
+df as (select u.x as x, count(*) as n from d, unnest(list_distinct(list_filter(w, lambda y: y in {quoted(vocabulary)}))) as u(x) group by 1),
+weights as materialized (select map_from_entries(list((v.x, ln(((select count(*) from d) + 1) / (coalesce(df.n, 0) + 1)) + 1))) as idf from (select unnest({quoted(vocabulary)}) as x) v left join df using (x)),
+h as materialized (select doc_id, w, t.*, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = key[1] and w[i : i + len(key) - 1] = key)) as s from d, t where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(key, ' ') || ' ')),
+m as materialized (select doc_id, cast(s - 1 as bigint) as start, label, base,
+  list_sum(list_transform(range(1, len(words) + 1), lambda o: case when s - lead + o - 1 >= 1 and w[s - lead + o - 1] = words[o] then coalesce(idf[words[o]], 0.0) else 0.0 end)) / list_sum(list_transform(words, lambda x: coalesce(idf[x], 0.0))) as share from h, weights),
 a as (select doc_id,
   count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
   coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels,
@@ -118,17 +115,28 @@ select doc_id, size, source_size, round(target, 6) as target, cast(a + b as bigi
   case when b > 0 then round(2 * ub / (q + sqrt(q * q + 4 * slope * ub)), 9) end as second_position from u"""
 
 _TOPK_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as w from embeddings
+with v as materialized (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as w from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) as bigint) as score
-  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+s as (select q.n, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.n <> c.n),
+r as (select *, cast(row_number() over (partition by n order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20"""
 
 
+# crc32 byte by byte, over a table that its rule makes
+_SHARD_SQL = f"""
+with tab as materialized (select list(c order by i) as t from (select i, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(0, 256) r(i))),
+d as materialized (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, coalesce(text, '') as text, case when text is null then -1 else cast('0x' || substr(md5(text), 1, 15) as bigint) end as h from documents),
+b as (select *, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint)) as bytes from d),
+k as (select doc_id, size, h, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as text_crc32 from b, tab),
+p as (select *, row_number() over (order by h, doc_id nulls first) as n, sum(size) over (order by h, doc_id nulls first rows between unbounded preceding and current row) - size as below, sum(size) over () as total from k),
+s as (select *, cast(below * {SHARDS} // total as int) as shard from p)
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by n) - 1 as slot, cast(null as int) as grown_shard from s"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_histogram_sort_shards, op4_super_minhash, op5_curriculum_mix, op6_pack_tournament, op7_bit_packed_tokens, op8_exact_topk, op9_weak_supervision, op10_length_histogram)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op5_curriculum_mix": _MIX_SQL, "op8_exact_topk": _TOPK_SQL}
+    return {"op2_license_scan": _license_sql(), "op3_histogram_sort_shards": _SHARD_SQL, "op5_curriculum_mix": _MIX_SQL, "op8_exact_topk": _TOPK_SQL}

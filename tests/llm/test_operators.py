@@ -296,3 +296,147 @@ def test_pipeline(spark, tmp_path):
     assert all(after[n].columns == list(corpus_pipeline.COLUMNS) for n, _ in corpus_pipeline.STAGES[:-1])
     assert ids("mixing") <= ids("suffix dedup") and after["mixing"].count() > 32
     assert ids("packing") == ids("mixing")
+
+
+def repeated_rows(n=300):
+    """Equal rows, rows with one id and several texts, null ids."""
+    word = lambda i: "w" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + str(i)
+    text = " ".join(map(word, range(90)))
+    other = [" ".join(word(100 * j + i) for i in range(90)) for j in range(1, 6)]
+    rows = [(7, text, "s0")] * n + [(i, text, "s1") for i in (8, 9)]
+    rows += [(7, t, "s2") for t in other[:3]] + [(None, other[3], "s0")] * 40 + [(None, other[4], None)] * 3 + [(None, None, None)] * 2 + [(5, "", "s1")] * 3
+    return rows
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    return spark.createDataFrame(repeated_rows(), SCHEMA).withColumn("votes", F.lit(1)).withColumn("posterior", F.lit("x")).repartition(4).cache()
+
+
+def test_repeated_rows_suffix_dedup(spark, copies, monkeypatch):
+    rows, seen = repeated_rows(), []
+    made = suffix_dedup.runs
+    monkeypatch.setattr(suffix_dedup, "runs", lambda *a: seen.append(made(*a)) or seen[-1])
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(copies).collect()), key=repr)
+    assert got == sorted(((r[0], *w) for r, w in zip(rows, brute_cut([(r[1] or "").encode() for r in rows]))), key=repr)
+
+
+def test_repeated_rows_near_duplicates(spark, copies):
+    got = near_dups.near_duplicates(copies, 5)
+    assert got.count() == len(repeated_rows()) and got.filter("doc_id in (8, 9)").select("component_id").distinct().collect()[0][0] == 7
+    one = near_dups.one_of_each(copies, 5)
+    assert one.columns == copies.columns
+    assert sorted(map(repr, one.select("doc_id", "text").collect())) == sorted(map(repr, spark.createDataFrame({(r[0], r[1]) for r in repeated_rows() if r[0] not in (8, 9)}, "doc_id long, text string").collect()))
+
+
+def test_stray_class_meets_linked_ones_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    w = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w[:k] + [f"x{i}"] + w[k + 1 :]), "s") for i, k in enumerate([3 * j % 190 for j in range(120)])]
+    rows += [(500 + i, " ".join(w[:150] + [f"y{j}" for j in range(45)]) + f" z{i}", "s") for i in range(2)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), 5).collect()
+    want = brute_components(rows, 5)
+    assert all((r.n_shingles, r.component_id, r.kept) == want[r.doc_id] for r in got) and len(got) == len(rows)
+
+
+def test_repeated_rows_sharding(spark, copies):
+    size, n = F.coalesce(F.octet_length("text"), F.lit(0)) + 8, 6
+    per, slots = Counter(), defaultdict(list)
+    for r in sharding.shard(copies, n, size).collect():
+        per[r.shard] += len((r.text or "").encode()) + 8
+        slots[r.shard].append(r.slot)
+    assert set(per) == set(range(n)) and max(per.values()) - min(per.values()) <= 2 * 700
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(repeated_rows())
+
+
+def test_repeated_rows_packing(spark, path, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 64)
+    d = spark.createDataFrame([(1, "a b c", "s")] * 2000, SCHEMA).repartition(4)
+    got = packing.pack_documents(d, path("byte_bpe_50k.json"), 0, 64).collect()
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 2000 and len(groups) == 32 and max(groups.values()) < 200
+    again = packing.pack_documents(d, path("byte_bpe_50k.json"), 0, 64).collect()
+    assert Counter((r.sequence_id, r.offset) for r in got) == Counter((r.sequence_id, r.offset) for r in again)
+
+
+def test_repeated_rows_files(spark, copies, path):
+    from tokenizers import Tokenizer
+
+    p = path("word_bpe_49k.json")
+    t = Tokenizer.from_file(p)
+    n = {x: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in {r[1] for r in repeated_rows()}}
+    got = sorted(bitpack.read_tokens(spark, bitpack.write_tokens(copies, p, 2)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in repeated_rows()), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist() and sum(r.n_tokens for r in got) == sum(n[r[1]] for r in repeated_rows())
+
+
+def test_repeated_queries_top_k(spark):
+    rows = [(20, [0.5, 0.25])] * 3 + [(i, [i / 50, 0.1]) for i in range(1, 20)] + [(None, [1.0, 1.0])] * 2
+    got = topk.top_k(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), F.col("id") % 20 == 0, 5).collect()
+    score = lambda a, b: sum(int(np.floor(64 * x)) * int(np.floor(64 * y)) for x, y in zip(a, b))
+    others = [rows[1], rows[2], *rows[3:]]
+    best = sorted(others, key=lambda r: (-score(rows[0][1], r[1]), r[0] is None, r[0] or 0))[:5]
+    want = [(20, k + 1, r[0], score(rows[0][1], r[1])) for k, r in enumerate(best)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want * 3, key=repr)
+
+
+def test_repeated_rows_quality_mix_counts(spark, copies, path):
+    rows = repeated_rows()
+    got = quality.judge(copies).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+    assert all(len({(r.kept, r.posterior) for r in got if r.text == t}) == 1 for t in {r[1] for r in rows})
+    mixed = mixing.mix(copies).collect()
+    assert len(mixed) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in mixed)
+    assert licenses.report(licenses.scan(copies)).count() == len(rows)
+    assert token_counts.length_histogram(copies, path("byte_bpe_50k.json")).agg(F.sum("n_docs")).first()[0] == len(rows)
+
+
+def test_cut_keeps_the_text_before(spark):
+    rows = [(i, f" a\nb\t c{i}\n\nd  e f\n g", f"s{i % 2}") for i in range(41)]
+    placed = mixing.placements(mixing.mix(spark.createDataFrame(rows, SCHEMA))).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r.doc_id].startswith(r.text) and len(r.text.split()) == r.words for r in placed) and any(r.words < r.size for r in placed)
+
+
+def plain_em(patterns):
+    """The same model written on arrays: posterior of good by pattern."""
+    v, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
+    g = np.where((v == -1).any(1), 0.05, 0.95)
+    for _ in range(quality.ROUNDS):
+        prior = ((n * g).sum() + 1) / (n.sum() + 2)
+        logit = np.full(len(n), np.log(prior / (1 - prior)))
+        for r in range(v.shape[1]):
+            part = {x: (0.5 + (n * g)[v[:, r] == x].sum(), 0.5 + (n * (1 - g))[v[:, r] == x].sum()) for x in (-1, 0, 1)}
+            of = [sum(p[j] for p in part.values()) for j in (0, 1)]
+            for x, keep in ((-1, min), (1, max)):
+                logit[v[:, r] == x] += keep(0.0, np.log(part[x][0] / of[0] * of[1] / part[x][1]))
+        new = 1 / (1 + np.exp(-np.clip(logit, -600, 600)))
+        if abs(new - g).max() < 1e-12:
+            return new
+        g = new
+    return g
+
+
+def test_quality_posteriors_against_a_plain_em(docs):
+    got = quality.judge(docs).collect()
+    patterns = sorted(Counter(tuple(r.votes) for r in got).items())
+    want = dict(zip([p for p, _ in patterns], plain_em(patterns)))
+    assert all(r.posterior == pytest.approx(want[tuple(r.votes)], abs=1e-6) and r.kept == (not r.base_failed and r.posterior >= quality.KEEP) for r in got)
+
+
+def test_pipeline_keeps_one_of_equal_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(12)]
+    rows = [(i, t, "en", "s0", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s0", 1), (0, texts[0], "de", "s1", 1), (None, texts[1], "en", "s0", 1)] + [(None, " ".join(word() for _ in range(100)), "en", None, 1)] * 4
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__others", F.lit(1)).write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    df, sizes = spark.read.parquet(str(tmp_path / "t" / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, str(tmp_path / "t")).cache()
+        sizes[name] = df.count()
+    assert sizes["near duplicates"] == 13 and all(len(r.text) > 300 for r in df.collect()) and {r.doc_id for r in df.collect()} == {*range(12), None}
+    spark.createDataFrame([], df.schema).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
