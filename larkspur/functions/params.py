@@ -33,7 +33,7 @@ def pattern(keys: list[str]) -> str:
 def parse(s: Column, keys: list[str] = KEYS) -> Column:
     """array<struct<key, value>> in order: a value is the trimmed text up to the next key; text before the first key goes."""
     found = F.regexp_extract_all(s, F.lit(pattern(keys)), F.lit(1))
-    values = F.transform(F.slice(F.split(s, pattern(keys)), 2, 1 << 20), lambda v: F.trim(v))
+    values = F.transform(F.slice(F.split(s, pattern(keys)), F.lit(2), F.size(found)), lambda v: F.trim(v))
     return F.zip_with(found, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
 
 

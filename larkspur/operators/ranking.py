@@ -53,6 +53,85 @@ def recall(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("q").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+def segment_weights(queries: DataFrame, target: DataFrame) -> DataFrame:
+    """(q, seg, w, v, b): queries (q, seg) reweighted to the segments of target (seg): w = b / v, the shares; 0 for a segment target lacks."""
+    share = lambda x, n: x.groupBy("seg").agg(F.count("*").alias("n")).crossJoin(F.broadcast(x.agg(F.count("*").alias("all")))).select("seg", (F.col("n") / F.col("all")).alias(n))
+    x = queries.join(share(queries, "v"), "seg").join(share(target, "b"), "seg", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    return x.select("q", "seg", (F.col("b") / F.col("v")).alias("w"), "v", "b")
+
+
+def eval_rank(ranked: DataFrame, sizes: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row r50, r50w, r35, r35w: mean recall in the first 50 and 35, plain and weighted; relevant items outside ``ranked`` (q, r, y) are misses.
+
+    sizes: (q, n_rel); weights: (q, w)."""
+    hits = ranked.filter("y = 1").groupBy("q").agg(*(F.count(F.when(F.col("r") <= k, 1)).alias(f"h{k}") for k in (50, 35)))
+    x = sizes.join(weights, "q").join(hits, "q", "left").na.fill(0, ["h50", "h35"])
+    h = {k: F.col(f"h{k}") / F.col("n_rel") for k in (50, 35)}
+    return x.agg(*(e for k in (50, 35) for e in (F.avg(h[k]).alias(f"r{k}"), (F.sum(h[k] * F.col("w")) / F.sum("w")).alias(f"r{k}w"))))
+
+
+def metric_rows(metrics: DataFrame, stage: str, name: str) -> DataFrame:
+    """(stage, name, metric, value) of a one-row table, rounded to four digits, as a metric log keeps them."""
+    rows = F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 4).alias("value")) for c in metrics.columns))
+    return metrics.select(F.explode(rows).alias("x")).select(F.lit(stage).alias("stage"), F.lit(name).alias("name"), "x.*")
+
+
+def answer_report(answers: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Counts that an answer table (q, answer) must pass: queries, distinct queries, the longest list, lists that repeat an id, lists
+    that aren't numbers parted by single spaces, ids that aren't in corpus (id)."""
+    x = answers.withColumn("ids", F.split("answer", " "))
+    foreign = x.select(F.explode("ids").alias("id")).filter("id <> ''").join(corpus, "id", "left_anti").agg(F.count("*").alias("n_foreign"))
+    bad = ~F.col("answer").rlike("^([0-9]+( [0-9]+)*)?$")
+    counts = x.agg(F.count("*").alias("n_queries"), F.countDistinct("q").alias("n_ids"), F.max(F.size("ids")).cast("long").alias("longest"), F.count(F.when(F.size("ids") != F.size(F.array_distinct("ids")), 1)).alias("n_repeating"), F.count(F.when(bad, 1)).alias("n_bad_form"))
+    return counts.crossJoin(F.broadcast(foreign))  # one row each
+
+
+def hash_pick(rows: DataFrame, n: int) -> DataFrame:
+    """(q, doc): n of each query's rows, in the order of a hash of both."""
+    w = Window.partitionBy("q").orderBy(F.md5(F.concat(F.col("doc").cast("string"), F.lit("|"), F.col("q").cast("string"))), "doc")
+    return rows.select("q", "doc").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).drop("r")
+
+
+class Linear:
+    """A linear ranker's coefficients; ``write`` and ``read_models`` keep them as a table."""
+
+    def __init__(self, features: list[str], coefficients: list[float]):
+        self.features, self.coefficients = list(features), [float(c) for c in coefficients]
+        self.standardised = self.coefficients
+
+    def spread(self, deviations) -> "Linear":
+        self.standardised = [c * d for c, d in zip(self.coefficients, deviations)]
+        return self
+
+
+def write_models(spark, models: list[Linear], path: str) -> None:
+    rows = [(i, f, c) for i, m in enumerate(models) for f, c in zip(m.features, m.coefficients)]
+    spark.createDataFrame(rows, "model int, feature string, coefficient double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_models(spark, path: str) -> list[Linear]:
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.model)  # a row for each feature and model
+    return [Linear([r.feature for r in rows if r.model == i], [r.coefficient for r in rows if r.model == i]) for i in sorted({r.model for r in rows})]
+
+
+def importances(spark, models: list[Linear], features: list[str]) -> DataFrame:
+    """Metric rows: each feature's share of the absolute weights (of standardised features)."""
+    total = {f: sum(abs(m.standardised[m.features.index(f)]) for m in models) for f in features}
+    rows = [("ranker", "importance", f, round(v / max(sum(total.values()), 1e-300), 4)) for f, v in total.items()]
+    return spark.createDataFrame(rows, "stage string, name string, metric string, value double")
+
+
+def out_of_fold(rows: DataFrame, group: str, label: str, features: list[str], folds: int, seeds: tuple[int, ...]) -> DataFrame:
+    """rows (with fold) with score: each fold is scored by models fitted on the others. Only groups with a relevant row are fitted."""
+    out = None
+    for fold in range(folds):
+        mine = F.pmod("fold", F.lit(folds)) == fold
+        models = [fit_pairwise(rows.filter(~mine), group, label, features, seed=s) for s in seeds]
+        part = predict(rows.filter(mine), models, features)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fit_pairwise(rows: DataFrame, group: str, label: str, features: list[str], negatives: int = 20, seed: int = 0):
     """A linear ranker by logistic regression on feature differences of a relevant and another row of one group.
 
@@ -69,14 +148,18 @@ def fit_pairwise(rows: DataFrame, group: str, label: str, features: list[str], n
     sign = F.when(F.pmod(F.xxhash64("doc"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     pairs = a.join(b, group).withColumn("sign", sign)
     pairs = pairs.select(*((F.coalesce(F.col(f"p_{f}") - F.col(f"n_{f}"), F.lit(0.0)) * F.col("sign")).alias(f) for f in features), ((F.col("sign") + 1) / 2).alias("label"))
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(pairs)
-    return LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=30, standardization=True).fit(data)
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(pairs.na.fill(0.0))
+    if data.isEmpty():
+        return Linear(features, [0.0] * len(features)).spread([0.0] * len(features))
+    fitted = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=30, standardization=True).fit(data)
+    deviations = pairs.agg(*(F.coalesce(F.stddev_pop(f), F.lit(0.0)) for f in features)).first()
+    return Linear(features, fitted.coefficients.toArray().tolist()).spread(deviations)
 
 
 def predict(rows: DataFrame, models: list, features: list[str]) -> DataFrame:
     """rows with score: the mean of the models' linear scores."""
     score = F.lit(0.0)
     for m in models:
-        for f, c in zip(features, m.coefficients.toArray().tolist()):
+        for f, c in zip(m.features, m.coefficients):
             score = score + F.lit(float(c) / len(models)) * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
     return rows.withColumn("score", score)

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import dot
-
 # BM25's parameters, the priors' smoothing and the weights of the hybrid score.
 K1, B = 1.2, 0.75
 ALPHA, SAME, OTHER, UNSEEN, EPS = 5.0, 0.77, 0.23, 1e-6, 1e-7
@@ -27,14 +25,16 @@ def bm25_index(docs: DataFrame, doc: str, toks: str, vocabulary: DataFrame | Non
     """(term, doc, weight) over token arrays; dl counts repeats, and empty documents count in the average.
 
     vocabulary: (term); other terms then count nowhere, not even in dl."""
-    terms = docs.select(F.col(doc).alias("doc"), F.explode(toks).alias("term"))
-    if vocabulary is not None:
+    terms = docs.select(F.col(doc).alias("doc"), F.size(toks).cast("long").alias("dl"), F.explode(toks).alias("term"))
+    if vocabulary is None:
+        total = docs.agg(F.count("*").alias("n"), F.sum(F.greatest(F.size(toks), F.lit(0))).alias("total"))  # one row
+    else:
         terms = terms.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    tf = terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy("doc").agg(F.sum("tf").alias("dl"))
+        terms = terms.drop("dl").join(terms.groupBy("doc").agg(F.count("*").alias("dl")), "doc")
+        total = docs.agg(F.count("*").alias("n")).crossJoin(terms.agg(F.count("*").alias("total")))  # one row
+    tf = terms.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.sum("dl").alias("total")))  # one row
-    x = tf.join(dl, "doc").join(df, "term").crossJoin(F.broadcast(stats))
+    x = tf.join(df, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.col("dl") / (F.col("total") / F.col("n"))
     return x.select("term", "doc", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length)) * idf).alias("weight"))
@@ -78,27 +78,19 @@ def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.join(docs, "gram").groupBy("q", "doc").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(q, doc, score): inner products of a stated query set, (q, qv), against every row of (doc, dv)."""
-    return queries.join(corpus).select("q", "doc", dot(F.col("qv"), F.col("dv")).alias("score"))
-
-
-def rescaled(scores: DataFrame, to: float = 0.108, sample: bool = False) -> DataFrame:
-    """Scores scaled to a common deviation per query: population deviation plus 1e-6, or the sample one."""
-    w = Window.partitionBy("q")
-    std = F.stddev_samp("score").over(w) if sample else F.stddev_pop("score").over(w) + 1e-6
-    return scores.withColumn("scaled", F.col("score") * (F.lit(to) / std))
+def log_shares(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the location prior is made of, from log (sloc, iloc): (sloc, iloc, cnt), (sloc, n_s) and (iloc, share)."""
+    cnt = log.groupBy("sloc", "iloc").agg(F.count("*").alias("cnt"))
+    g = cnt.groupBy("iloc").agg(F.sum("cnt").alias("g_n")).crossJoin(F.broadcast(cnt.agg(F.sum("cnt").alias("g_all"))))
+    return cnt, cnt.groupBy("sloc").agg(F.sum("cnt").alias("n_s")), g.select("iloc", (F.col("g_n") / F.col("g_all")).alias("share"))
 
 
-def location_prior(log: DataFrame, pairs: DataFrame, shrink_unseen: bool = True) -> DataFrame:
-    """pairs (sloc, iloc) with p, lp = ln(p + 1e-7) and cnt, from log (sloc, iloc).
+def location_prior(shares: tuple[DataFrame, DataFrame, DataFrame], pairs: DataFrame, shrink_unseen: bool = True) -> DataFrame:
+    """pairs (sloc, iloc, ...) with p, lp = ln(p + 1e-7) and loc_cnt, from ``log_shares``.
 
     Smoothed towards the items' global shares (1e-6 if unseen); a search location without log gives 0.77 to itself and to the others
-    0.23 times the share (shrink_unseen), or the share itself."""
-    cnt = log.groupBy("sloc", "iloc").agg(F.count("*").alias("cnt"))
-    n = log.groupBy("sloc").agg(F.count("*").alias("n_s"))
-    g = log.groupBy("iloc").agg(F.count("*").alias("g_n")).crossJoin(F.broadcast(log.agg(F.count("*").alias("g_all"))))
-    g = g.select("iloc", (F.col("g_n") / F.col("g_all")).alias("share"))
+    0.23 times the share (shrink_unseen), or the share itself. Only the pairs asked for are looked up."""
+    cnt, n, g = shares
     x = pairs.join(cnt, ["sloc", "iloc"], "left").join(n, "sloc", "left").join(g, "iloc", "left")
     base = F.coalesce("share", F.lit(UNSEEN))
     same = F.col("sloc") == F.col("iloc")
@@ -106,12 +98,12 @@ def location_prior(log: DataFrame, pairs: DataFrame, shrink_unseen: bool = True)
     unseen = F.when(same, F.lit(SAME)).otherwise(OTHER * base if shrink_unseen else base)
     p = F.when(F.col("n_s").isNotNull(), seen).otherwise(unseen)
     count = F.when(F.col("n_s").isNotNull(), F.coalesce("cnt", F.lit(0)).cast("double")).otherwise(same.cast("double"))
-    return x.select("sloc", "iloc", p.alias("p"), F.log(p + EPS).alias("lp"), count.alias("cnt"))
+    return x.select(*pairs.columns, p.alias("p"), F.log(p + EPS).alias("lp"), count.alias("loc_cnt"))
 
 
-def smoothed_rate(rows: DataFrame, key: str, value: str, a: float) -> DataFrame:
-    """(key, rate): (sum + a * overall mean) / (count + a)."""
-    g = rows.agg(F.avg(value).alias("g"))
+def smoothed_rate(rows: DataFrame, key: str, value: str, a: float, g: DataFrame | None = None) -> DataFrame:
+    """(key, rate): (sum + a * overall mean) / (count + a); g: the overall mean, one row, if it isn't the rows' own."""
+    g = rows.agg(F.avg(value).alias("g")) if g is None else g
     return rows.groupBy(key).agg(F.sum(value).alias("s"), F.count("*").alias("n")).crossJoin(F.broadcast(g)).select(key, ((F.col("s") + a * F.col("g")) / (F.col("n") + a)).alias("rate"))
 
 
@@ -125,22 +117,25 @@ def token_bayes(log: DataFrame, all_mcs: DataFrame, queries: DataFrame) -> DataF
     """(q, mc, lift): mean over the query's known tokens of ln((n(t, mc) + 2 prior) / (n(t) + 2)), less ln prior.
 
     log: (toks, mc), tokens counted once a row; all_mcs: (mc) of log and corpus; queries: (q, toks). Unknown tokens don't count; a
-    query of unknown tokens has no rows."""
+    query of unknown tokens has no rows. Only seen (token, microcategory) pairs are joined: what they add to the logarithm of an unseen
+    pair is summed, and that of the others follows from the number of tokens."""
     n_mc = log.groupBy("mc").agg(F.count("*").alias("c"))
-    total = log.agg(F.count("*").alias("l")).crossJoin(all_mcs.agg(F.countDistinct("mc").alias("m")))
+    total = log.agg(F.count("*").alias("l")).crossJoin(all_mcs.agg(F.countDistinct("mc").alias("m")))  # one row
     prior = all_mcs.select("mc").distinct().join(n_mc, "mc", "left").crossJoin(F.broadcast(total))
     prior = prior.select("mc", ((F.coalesce("c", F.lit(0)) + 1) / (F.col("l") + F.col("m"))).alias("prior"))
     pair = log.select(F.explode(F.array_distinct("toks")).alias("t"), "mc").groupBy("t", "mc").agg(F.count("*").alias("n"))
     tok = pair.groupBy("t").agg(F.sum("n").alias("nt"))
-    asked = queries.select("q", F.explode(F.array_distinct("toks")).alias("t")).join(tok, "t")
-    grid = asked.join(F.broadcast(prior)).join(pair, ["t", "mc"], "left")  # microcategories are few: one row each
-    term = F.log((F.coalesce("n", F.lit(0)) + 2 * F.col("prior")) / (F.col("nt") + 2))
-    return grid.groupBy("q", "mc").agg((F.avg(term) - F.first(F.log("prior"))).alias("lift"))
+    asked = queries.select("q", F.explode(F.array_distinct("toks")).alias("t"))
+    known = asked.join(tok, "t").groupBy("q").agg(F.count("*").alias("k"), F.sum(F.log(F.col("nt") + 2)).alias("rest"))
+    more = asked.join(pair, "t").join(prior, "mc").groupBy("q", "mc").agg(F.sum(F.log((F.col("n") + 2 * F.col("prior")) / (2 * F.col("prior")))).alias("more"))
+    every = prior.agg(F.collect_list(F.struct("mc", "prior")).alias("all"))  # one row of the microcategories' dimension
+    grid = known.crossJoin(F.broadcast(every)).select("q", "k", "rest", F.explode("all").alias("x")).select("q", "k", "rest", "x.*")
+    lift = (F.coalesce("more", F.lit(0.0)) + F.col("k") * F.log(2 * F.col("prior")) - F.col("rest")) / F.col("k") - F.log("prior")
+    return grid.join(more, ["q", "mc"], "left").select("q", "mc", lift.alias("lift"))
 
 
-def neighbours(scores: DataFrame, k: int = 20, tau: float = 0.05) -> DataFrame:
-    """(q, doc, score, rank, weight): the k nearest with softmax weights."""
-    top = top_k(scores, k, "q", "doc")
+def neighbours(top: DataFrame, tau: float = 0.05) -> DataFrame:
+    """top (q, doc, score) with softmax weights."""
     w = Window.partitionBy("q")
     e = F.exp((F.col("score") - F.max("score").over(w)) / tau)
     return top.withColumn("e", e).withColumn("weight", F.col("e") / F.sum("e").over(w)).drop("e")
@@ -152,9 +147,9 @@ def transfer(near: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def feedback(near: DataFrame, doc_terms: DataFrame, index: DataFrame, terms: int = 30, least: float = 0.02) -> DataFrame:
-    """(q, doc, score): pseudo-relevance feedback; the heaviest terms of the neighbours, scored on an index."""
+    """(q, doc, score): pseudo-relevance feedback; the heaviest terms of the neighbours (ties by term), scored on an index."""
     bag = near.join(doc_terms, "doc").groupBy("q", "term").agg(F.sum(F.col("weight") * F.col("p")).alias("w"))
-    heavy = top_k(bag, terms, "q", "term", "w").filter(F.col("w") > least).select("q", "term", "w")
+    heavy = top_k(bag.withColumn("by", F.round("w", 9)), terms, "q", "term", "by").filter(F.col("w") > least).select("q", "term", "w")
     return heavy.join(index, "term").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
 
 

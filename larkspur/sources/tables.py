@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,23 @@ def table_or_write(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and executors are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A stage table of this application, made once for each input folder and then read by every query that needs it."""
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:16]
+    return table_or_write(spark, f"{work_dir(spark)}/stages-{key}/{name}", make)
+
+
 def vector_table_report(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     """Integrity of a stored vector table: rows, rows of another dimension, rows off the unit sphere by more than 0.001."""
     norm = F.sqrt(F.aggregate(F.col(column), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

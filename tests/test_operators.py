@@ -24,10 +24,11 @@ def test_bm25_weights_and_scores(spark):
 def test_location_prior(spark):
     log = spark.createDataFrame([(1, 1)] * 3 + [(1, 2), (2, 2)], "sloc int, iloc int")
     pairs = spark.createDataFrame([(1, 1), (1, 2), (7, 7), (7, 1)], "sloc int, iloc int")
-    p = {(r.sloc, r.iloc): (r.p, r.lp) for r in retrieval.location_prior(log, pairs).collect()}
+    shares = retrieval.log_shares(log)
+    p = {(r.sloc, r.iloc): (r.p, r.lp) for r in retrieval.location_prior(shares, pairs).collect()}
     assert p[1, 1] == (pytest.approx(2 / 3), pytest.approx(-0.405465, abs=1e-6)) and p[1, 2][1] == pytest.approx(-1.098612, abs=1e-6)
     assert p[7, 7][0] == pytest.approx(0.77) and p[7, 1][0] == pytest.approx(0.138)
-    assert {(r.sloc, r.iloc): r.p for r in retrieval.location_prior(log, pairs, False).collect()}[7, 1] == pytest.approx(0.6)
+    assert {(r.sloc, r.iloc): r.p for r in retrieval.location_prior(shares, pairs, False).collect()}[7, 1] == pytest.approx(0.6)
 
 
 def test_token_bayes(spark):
@@ -80,3 +81,81 @@ def test_fallback_keeps_order(spark):
 
 def test_char_grams(spark):
     assert spark.range(1).select(retrieval.char_grams(F.lit("ab c")).alias("g")).first().g == [" ab", "ab ", " c "]
+
+
+def vectors(spark, n, seed=1):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.choice([-1.0, 0.5, 0.25], 6).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc long, dv array<double>")
+
+
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from larkspur.operators import dense
+
+    monkeypatch.setattr(dense, "CORPUS_BLOCK", 7)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 2)
+    rows, corpus = vectors(spark, 40)
+    asked = spark.createDataFrame([(i, v, i if i else -1) for i, v in rows[:5]], "q long, qv array<double>, own long")
+    top, m = dense.nearest(asked, corpus, 6)
+    got = {q: [] for q in range(5)}
+    for r in top.orderBy("q", "rank").collect():
+        got[r.q].append((r.doc, r.score))
+    for q, v in rows[:5]:
+        all_ = [(i, float(np.round(np.dot(v, w), 9))) for i, w in rows if not (q and i == q)]
+        assert got[q] == sorted(all_, key=lambda x: (-x[1], x[0]))[:6]
+        stats = m.filter(f"q = {q}").first()
+        assert stats.n == len(all_) and stats.pop == pytest.approx(np.std([s for _, s in all_])) and stats.samp == pytest.approx(np.std([s for _, s in all_], ddof=1))
+    assert dense.nearest(asked.limit(0), corpus, 3)[0].count() == 0 and dense.nearest(asked, corpus.limit(0), 3)[0].count() == 0
+
+
+def test_located_adds_the_prior(spark):
+    import numpy as np
+
+    from larkspur.operators import dense
+
+    log = spark.createDataFrame([("a", "a")] * 3 + [("a", "b"), ("b", "b")], "sloc string, iloc string")
+    rows, corpus = vectors(spark, 30)
+    places = {i: "abc"[i % 3] for i, _ in rows}
+    items = corpus.join(spark.createDataFrame(list(places.items()), "doc long, iloc string"), "doc")
+    cnt, n_s, share = retrieval.log_shares(log)
+    items = items.join(share, "iloc", "left").select("doc", "dv", "iloc", F.coalesce("share", F.lit(retrieval.UNSEEN)).alias("base"))
+    seen = cnt.groupBy("sloc").agg(F.collect_list(F.struct("iloc", "cnt")).alias("cnts"))
+    asked = spark.createDataFrame([(0, rows[0][1], -1, "a", 2.0), (1, rows[1][1], -1, "c", 1.0)], "q long, qv array<double>, own long, sloc string, scale double").join(n_s, "sloc", "left").join(seen, "sloc", "left")
+    got = dense.located(asked, items, [("x", 8, "scale", 1.0, 0.5)])
+    pairs = spark.createDataFrame([(s, i) for s in "ac" for i in "abc"], "sloc string, iloc string")
+    lp = {(r.sloc, r.iloc): r.lp for r in retrieval.location_prior((cnt, n_s, share), pairs).collect()}
+    for q, sloc, scale in ((0, "a", 2.0), (1, "c", 1.0)):
+        s = {i: float(np.round(scale * np.round(np.dot(rows[q][1], v), 9) + 0.5 * lp[sloc, places[i]], 9)) for i, v in rows}
+        want = sorted(s, key=lambda i: (-s[i], i))[:8]
+        assert [r.doc for r in got.filter(f"q = {q}").orderBy("rank").collect()] == want
+
+
+def test_empty_inputs(spark):
+    docs = spark.createDataFrame([], "doc string, toks array<string>")
+    assert retrieval.bm25_index(docs, "doc", "toks").count() == 0
+    nulls = spark.createDataFrame([("d1", None), ("d2", ["a"])], "doc string, toks array<string>")
+    assert [r.term for r in retrieval.bm25_index(nulls, "doc", "toks").collect()] == ["a"]
+    log = spark.createDataFrame([], "sloc int, iloc int")
+    assert retrieval.location_prior(retrieval.log_shares(log), spark.createDataFrame([(1, 1)], "sloc int, iloc int")).first().p == 0.77
+    none = spark.createDataFrame([], "q int, doc int, r int, y int")
+    e = ranking.eval_rank(none, spark.createDataFrame([(1, 2)], "q int, n_rel long"), spark.createDataFrame([(1, 1.0)], "q int, w double")).first()
+    assert e.r50 == 0 and e.r35w == 0
+
+
+def test_rank_metrics_and_models(spark, tmp_path):
+    ranked = spark.createDataFrame([(1, 10, 1, 1), (1, 11, 40, 1), (2, 12, 2, 0), (2, 13, 60, 1)], "q int, doc int, r int, y int")
+    sizes, w = spark.createDataFrame([(1, 4), (2, 1)], "q int, n_rel long"), spark.createDataFrame([(1, 3.0), (2, 1.0)], "q int, w double")
+    e = ranking.eval_rank(ranked, sizes, w).first()
+    assert (e.r50, e.r35, e.r50w, e.r35w) == (0.25, 0.125, 0.375, 0.1875)
+    x = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "q int, seg string")
+    got = {r.q: r.w for r in ranking.segment_weights(x, spark.createDataFrame([("a",), ("b",), ("b",), ("b",)], "seg string")).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 3.0, 4: 0.0}
+    models = [ranking.Linear(["f", "g"], [1.0, -2.0]), ranking.Linear(["f", "g"], [3.0, 0.5])]
+    ranking.write_models(spark, models, str(tmp_path / "m"))
+    back = ranking.read_models(spark, str(tmp_path / "m"))
+    rows = spark.createDataFrame([(1.0, 2.0)], "f double, g double")
+    assert ranking.predict(rows, back, ["f", "g"]).first().score == ranking.predict(rows, models, ["f", "g"]).first().score == 0.5

@@ -11,7 +11,7 @@ from larkspur.plans import registry
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "e1_log_sizes", "e3_overlap_shares", "e16_location_ratio", "e20_pruning_ceiling", "j5_anti", "a7_describe", "a22_string_aggregate", "w4_limit_by_group", "l2_shared_items", "l4_stratified_sample",
-    "r1_bm25_title_index", "r8_location_prior", "r10_token_bayes", "r5_char_trigrams", "k8_recall_at_k", "l6_hard_negatives", "p5_parameters", "p9_item_texts", "p17_remote_flags",
+    "r1_bm25_title_index", "r8_location_prior", "r10_token_bayes", "r5_char_trigrams", "k8_recall_at_k", "l6_hard_negatives", "p5_parameters", "p9_item_texts", "p17_remote_flags", "u2_candidate_union", "feature_rows", "k6_quota_assembly", "k9_eval_rank", "k11_dense_eval", "k16_density", "l8_negative_groups", "r4_field_weighted_bm25",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are elsewhere")
@@ -38,7 +38,18 @@ def test_against_sql(spark, name):
 
 
 def test_every_query_but_the_ranker_has_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"k1_pairwise_ranker"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"k1_pairwise_ranker", "k20_ranker_study"}
+
+
+def test_scenario_discriminates():
+    """The relational scenario's shares and strata differ, so that a wrong plan shows."""
+    con = duckdb.connect()
+    for p in glob.glob("/root/testdata/sf0.01/*.parquet"):
+        con.sql(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    rows = lambda n: con.sql(registry.oracle_sql()[n]).fetchall()
+    assert all(0 < x < 1 for x in rows("e3_overlap_shares")[0]) and 0 < rows("e9_corpus_in_queried_locations")[0][0] < 1 and 0 < rows("e15_location_coverage")[0][0] < 1
+    assert rows("e12_any_category") and rows("e21_items_with_two_titles")[0][0] > 0 and len(rows("e17_no_filter_by_frequency")) == 3
+    assert len({r[2] for r in rows("e13_filter_shares")}) > 1 and {r[2] for r in rows("l4_stratified_sample")} == {0, 1}
 
 
 def test_sources(spark, tmp_path):
