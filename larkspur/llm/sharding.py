@@ -155,6 +155,7 @@ def shard(docs: DataFrame, n_shards: int, size, doc_id: str = "doc_id", text: st
 
     order = Window.partitionBy("__p").orderBy("__h", "__i", "__u")
     placed = keyed.withColumn("__p", part_of("__h", "__i", "__u") if edges else F.lit(0).cast("long"))
+    placed = placed.repartition(parts, "__p")  # a given count isn't coalesced: parts have their size already
     numbered_ = placed.withColumn("__n", F.row_number().over(order) - 1)
     where = spark.createDataFrame(lines, "__p long, shard int, __base long")  # a row for each part
     out = numbered_.join(F.broadcast(where), "__p").withColumn("slot", F.col("__base") + F.col("__n"))
