@@ -2,21 +2,27 @@
 
 ``WordEncoder`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``. It
 cuts texts only where the tokenizer's own pre-tokenisation always cuts: before a space or line end that
-stands between two characters that aren't white space. Words recur, so most are found in a dictionary.
+stands between two characters that aren't white space. Words recur, so most are found in a dictionary. Other words are
+cut once more, between Latin letters and the ASCII punctuation after them, and the letters go straight to the model.
 Files whose pre-tokenisation isn't known to cut there are encoded as whole texts.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
+import struct
 from functools import lru_cache
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 
 #: Words kept in a worker's dictionary; it starts afresh beyond that, so its memory is bounded.
 CACHE_WORDS = 400_000
+#: Runs of punctuation after a word that are kept, the latest ones.
+CACHE_MARKS = 4096
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than the space and line end; it makes a text irregular.
 _ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -44,8 +50,10 @@ class WordEncoder:
         norms = [n.get("type") for n in norm.get("normalizers", [norm])] if norm else []
         self.spaced = kinds == ["ByteLevel"] and steps[0].get("use_regex") and not steps[0].get("add_prefix_space") and not norm
         self.dropped = kinds == ["Split", "ByteLevel"] and steps[0].get("behavior") == "Removed" and norms == ["NFC", "Replace", "Lowercase"] and not steps[1].get("use_regex")
-        self.letters = _byte_letters()
-        self.marks = {m: self.raw(m) if m else b"" for m in ("", ".", ",")}
+        letters = _byte_letters()
+        self.letters, self.space = "".join(letters[b] for b in range(256)), letters[32]
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
+        self.mark = lru_cache(CACHE_MARKS)(self.raw)
         self.line = self.raw("\n")
         self.largest = max(self.tokenizer.get_vocab().values())
         self.words: dict[str, bytes] = _Words(self)
@@ -53,9 +61,10 @@ class WordEncoder:
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _model(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
+    def _model(self, word: str, spaced: bool = False) -> bytes:
+        shown = word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
+        ids = [t.id for t in self.model.tokenize(self.space + shown if spaced else shown)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def word(self, word: str) -> bytes:
         """Ids of a word with a space before it; of one that starts with a line end, of both without."""
@@ -64,12 +73,14 @@ class WordEncoder:
         return self._plain(word, " " if self.spaced else "")
 
     def _plain(self, word: str, before: str) -> bytes:
-        # Latin letters that the normaliser only lower-cases, with a full stop or comma at most
-        end = word[-1:] if word[-1:] in (".", ",") else ""
-        core = word[:-1] if end else word
+        # Latin letters that the normaliser only lower-cases, and the punctuation after them, which is a piece of its own: without a
+        # letter after it no apostrophe is a contraction, and added tokens that begin with a mark don't end with one's last
+        core = word.rstrip(punctuation)
         if core.isalpha() and (core.isascii() or max(core) < "\u0250" and is_normalized("NFC", core) and len(core.lower()) == len(core)):
-            ids = self._model(before + core) if self.spaced else self._model(core.lower())
-            return ids + self.marks[end]
+            end = self.mark(word[len(core) :]) if len(core) < len(word) else b""
+            if end and bool(before) == self.spaced and core in self.words:
+                return self.words[core] + end
+            return (self._model(core, bool(before)) if self.spaced else self._model(core.lower())) + end
         return self.raw(before + word)
 
     def encode(self, text: str) -> bytes:
@@ -89,7 +100,7 @@ class WordEncoder:
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts or "\n" in parts or any(c in text for c in odd):
             parts = _CUT.split(text)
-        return self.raw(parts[0]) + b"".join(map(get, parts[1:]))
+        return self._plain(parts[0], "") + b"".join(map(get, parts[1:]))
 
 
 class _Words(dict):

@@ -29,6 +29,21 @@ def test_word_encoder_equals_the_tokenizer(tokenizers):
             assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_encoder_encodes_a_run_of_marks_once(tokenizers, monkeypatch):
+    rng = random.Random(8)
+    marks = ["", ".", ",", "%%%", ",###", "!!", "'", "''.", "<|", "|>", "--", ')"']
+    cores = ["".join(rng.choice("abstEéßÜ") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    made = [c + m for c in cores for m in rng.sample(marks, 3)]
+    text = "".join(w + rng.choice("   \n") for w in made) + "end"
+    for e in tokenizers:
+        whole, want = [], e.tokenizer.encode(text, add_special_tokens=False).ids
+        with monkeypatch.context() as m:
+            m.setattr(e, "raw", lambda t, raw=e.raw: whole.append(t) or raw(t))
+            e.words.clear()
+            assert np.frombuffer(e.encode(text), e.dtype).tolist() == want
+        assert not whole  # no word went through the whole tokenizer
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
