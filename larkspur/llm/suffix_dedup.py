@@ -74,7 +74,7 @@ def repeated_grams(keyed: DataFrame) -> DataFrame:
         seen = set()
         for batch in batches:
             texts = batch.column(2)
-            for held in pieces([texts[i].as_py() or b"" for i in _fresh(seen, batch, 0)], 1 << 21):
+            for held in pieces([texts[i].as_py() or b"" for i in _fresh(seen, batch, 0)]):
                 gram, n = np.unique(anchors(held)[4].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(gram), "n": pa.array(n, pa.int64())})
 
@@ -92,7 +92,7 @@ def candidates(keyed: DataFrame, grams: DataFrame) -> DataFrame:
         for batch in batches:
             new = np.array(_fresh(seen, batch, 0), np.int64)
             h1, h2, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            for held in pieces([texts[i].as_py() or b"" for i in new.tolist()], 1 << 21):
+            for held in pieces([texts[i].as_py() or b"" for i in new.tolist()]):
                 doc, place, low, high, gram = whole(*anchors(held))
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "h1": pa.array(h1[new[doc]]), "h2": pa.array(h2[new[doc]]), "place": pa.array(place << 14 | low << 7 | high)})
 
@@ -111,10 +111,10 @@ def _run_blocks(rows: np.ndarray, meta: np.ndarray):
     from larkspur.llm.suffixes import encode_block, sort_run
 
     order = sort_run(rows)
-    rows, meta = rows[order], meta[order]
     for at in range(0, len(rows), BLOCK):
-        part = rows[at : at + BLOCK]
-        yield part[0].tobytes(), part[-1].tobytes(), len(part), encode_block(part, meta[at : at + BLOCK])
+        some = order[at : at + BLOCK]
+        part = rows[some]
+        yield part[0].tobytes(), part[-1].tobytes(), len(part), encode_block(part, meta[some])
 
 
 def runs(keyed: DataFrame, places: DataFrame) -> DataFrame:
@@ -130,7 +130,9 @@ def runs(keyed: DataFrame, places: DataFrame) -> DataFrame:
 
         def flush():
             if size:
-                got = list(zip(*_run_blocks(np.concatenate(rows), np.concatenate(meta))))
+                r, m = np.concatenate(rows), np.concatenate(meta)
+                rows.clear(), meta.clear()
+                got = list(zip(*_run_blocks(r, m)))
                 yield pa.RecordBatch.from_pydict({"first": pa.array(got[0], pa.binary()), "last": pa.array(got[1], pa.binary()), "n": pa.array(got[2], pa.int64()), "payload": pa.array(got[3], pa.binary()), "h1": pa.nulls(len(got[0]), pa.int64()), "h2": pa.nulls(len(got[0]), pa.int64())})
 
         for batch in batches:

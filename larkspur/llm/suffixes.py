@@ -18,10 +18,10 @@ LEFT, RIGHT, TIE = GRAM, LENGTH, 4
 KEY = RIGHT + LEFT + TIE
 PAD = 0xFF  # no byte of UTF-8; windows never hold it, as they lie inside their document
 _POS = np.uint64((1 << 24) - 1)
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20):
+def pieces(texts: list[bytes], limit: int = 1 << 19):
     """Lists of (document, offset, bytes) of about ``limit`` bytes; a long text is cut into pieces that share LENGTH - 1 bytes,
     so each window is in one piece, and all its pieces are in one list."""
     held, size = [], 0

@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from larkspur.llm import bitpack, packing, quality, shingles, suffixes
+from larkspur.llm import bitpack, packing, quality, shingles, suffix_dedup, suffixes
 
 
 @pytest.fixture(scope="module")
@@ -125,6 +127,50 @@ def test_anchors_divide_all_windows(monkeypatch):
         assert sorted(seen) == sorted((i, p) for i, t in enumerate(texts) for p in range(len(t) - 199))
 
 
+class Rows:
+    """Stands for a table and keeps the function that a task runs over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        raise StopIteration(f)
+
+
+def peak(f):
+    """What f returns and the MB it held at most."""
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+@pytest.mark.parametrize("sizes", [[2000] * 1500, [3_000_000]])
+def test_anchors_of_a_batch_in_little_memory(sizes):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes() for n in sizes]
+    want = list(zip(*(np.concatenate(x) for x in zip(*(suffixes.whole(*suffixes.anchors([(i, 0, t)])) for i, t in enumerate(texts))))))
+    batch = pa.RecordBatch.from_pydict({"h1": pa.array(range(len(texts))), "h2": pa.array(range(len(texts))), "t": pa.array(texts, pa.binary())})
+    shingles._powers[:] = [x[:2].copy() for x in shingles._powers]
+    for made in (lambda: suffix_dedup.repeated_grams(Rows()), lambda: suffix_dedup.candidates(Rows(), None)):
+        with pytest.raises(StopIteration) as e:
+            made()
+        got, most = peak(lambda: list(e.value.value([batch])))
+        assert most < 120, most
+    found = [(r["h1"], r["place"] >> 14, r["place"] >> 7 & 127, r["place"] & 127, r["gram"] % (1 << 64)) for b in got for r in b.to_pylist()]
+    assert sorted(found) == sorted(tuple(int(y) for y in x) for x in want)
+
+
+def test_run_blocks_hold_no_second_run():
+    rows = np.random.default_rng(9).integers(97, 99, (20_000, suffixes.KEY), dtype=np.uint8)
+    meta = np.arange(80_000).reshape(-1, 4)
+    got, keys, order = [], [], suffixes.sort_run(rows)
+    _, most = peak(lambda: [got.append(b[2]) or (keys.append(suffixes.decode_block(b[2], b[3], 4, suffixes.KEY)) if len(got) < 4 else None) for b in suffix_dedup._run_blocks(rows, meta)])
+    assert sum(got) == len(rows) and (np.concatenate([k for k, _ in keys]) == rows[order][:768]).all() and (np.concatenate([m for _, m in keys]) == meta[order][:768]).all()
+    assert most < rows.nbytes / 1e6 / 2, most
+
+
 def test_loser_tree_merges_and_keeps_common_prefixes():
     rng = random.Random(5)
     runs, keys = [], []
