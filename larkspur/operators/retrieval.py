@@ -146,11 +146,10 @@ def transfer(near: DataFrame, labels: DataFrame) -> DataFrame:
     return near.join(labels, "doc").groupBy("q", "label").agg(F.sum(F.col("weight") * F.col("p")).alias("w"))
 
 
-def feedback(near: DataFrame, doc_terms: DataFrame, index: DataFrame, terms: int = 30, least: float = 0.02) -> DataFrame:
-    """(q, doc, score): pseudo-relevance feedback; the heaviest terms of the neighbours (ties by term), scored on an index."""
+def heavy_terms(near: DataFrame, doc_terms: DataFrame, terms: int = 30, least: float = 0.02) -> DataFrame:
+    """(q, term, w): pseudo-relevance feedback asks for the heaviest terms of the neighbours (ties by term)."""
     bag = near.join(doc_terms, "doc").groupBy("q", "term").agg(F.sum(F.col("weight") * F.col("p")).alias("w"))
-    heavy = top_k(bag.withColumn("by", F.round("w", 9)), terms, "q", "term", "by").filter(F.col("w") > least).select("q", "term", "w")
-    return heavy.join(index, "term").groupBy("q", "doc").agg(F.sum(F.col("w") * F.col("weight")).alias("score"))
+    return top_k(bag.withColumn("by", F.round("w", 9)), terms, "q", "term", "by").filter(F.col("w") > least).select("q", "term", "w")
 
 
 def union_candidates(retrieved: list[DataFrame]) -> DataFrame:
