@@ -63,3 +63,15 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         assert tables.table_or_write(spark, str(tmp_path / "t"), make).count() == 2
     assert calls == [1] and tables.read_lines(spark, str(tmp_path / "c")).count() == 3
+
+
+def test_item_ids_of_more_than_five_digits(spark, tmp_path):
+    """As in the SQL, where lpad cuts what is longer."""
+    spark.createDataFrame([(7, "\u00a0a b \u00a0", "en", "src1", 6), (123456, "a\x0bb  c", "en", "src2", 6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("benchmark", "events"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = {r[0]: r for r in con.sql(f"select doc, vid, item_text from ({registry.oracle_sql()['p9_item_texts']})").fetchall()}
+    got = {r.doc: (r.doc, r.vid, r.item_text) for r in registry.queries()["p9_item_texts"](spark, str(tmp_path)).collect()}
+    assert got == want and got[123456][1] == "v12345"
