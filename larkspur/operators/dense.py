@@ -1,7 +1,7 @@
 """Exact inner products of a stated query set against all vectors, block by block.
 
-Queries and corpus meet in cells of bounded size (a block of each), where one matrix product scores them, and only each query's best
-rows and its sums leave a cell; so no table of all pairs exists. Blocks are dealt by a hash, and lists are merged by a
+Queries and corpus meet in cells of bounded size (a block of each), where matrix products of at most ``SCORES`` scores score them, a few queries at a time, and only each query's best
+rows and its sums leave a cell; so no table of all pairs exists, and a task's memory doesn't grow with the tables. Blocks are dealt by a hash, and lists are merged by a
 window per query. Scores are rounded to ``DIGITS`` before they are ranked, and ties go to the smaller row.
 
 Rows whose id or vector is null take no part; an empty side gives no rows. All vectors must have one length.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CORPUS_BLOCK, DIGITS = 2048, 16384, 9
+QUERY_BLOCK, CORPUS_BLOCK, SCORES, DIGITS = 2048, 16384, 1 << 20, 9
 SCHEMA = "list string, q long, doc long, score double, total double"
 
 
@@ -35,14 +35,24 @@ def _best(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((docs[at], -scores[at]))][:k]
 
 
-def _log_prior(left: pa.Table, right: pa.Table) -> np.ndarray:
+def _rows(parts: list[tuple]) -> pa.Table:
+    """One table of (list, q, doc, score, total), each part a name and four arrays."""
+    q, doc, score, total = (np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in range(1, 5))
+    names = pa.array([p[0] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])))
+    return pa.table({"list": names, "q": q.astype(np.int64), "doc": doc.astype(np.int64), "score": score.astype(np.float64), "total": total.astype(np.float64)})
+
+
+def _places(right: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Of a block of rows: the numbers of their places, each row's, and its share."""
+    places, of = np.unique(np.array(right.column("iloc").to_pylist(), object).astype(str), return_inverse=True)
+    return {x: i for i, x in enumerate(places.tolist())}, of, np.asarray(right.column("base").to_numpy())
+
+
+def _log_prior(left: pa.Table, at: dict, of: np.ndarray, base: np.ndarray) -> np.ndarray:
     """ln(p + 1e-7) of every query's location and every row's."""
     from larkspur.operators.retrieval import ALPHA, EPS, OTHER, SAME
 
-    places, of = np.unique(np.array(right.column("iloc").to_pylist(), object).astype(str), return_inverse=True)
-    at = {x: i for i, x in enumerate(places.tolist())}
-    base = np.asarray(right.column("base").to_numpy())
-    seen, rows = np.zeros((left.num_rows, len(places))), []
+    seen, rows = np.zeros((left.num_rows, len(at))), []
     for i, pairs in enumerate(left.column("cnts").to_pylist()):
         for pair in pairs or []:
             if pair["iloc"] in at:
@@ -52,28 +62,32 @@ def _log_prior(left: pa.Table, right: pa.Table) -> np.ndarray:
     return np.log(np.stack(rows) + EPS)
 
 
-def _cells(queries: DataFrame, corpus: DataFrame, score, moments: bool) -> DataFrame:
+def _cells(queries: DataFrame, corpus: DataFrame, score, moments: bool, known=lambda right: None) -> DataFrame:
     nq, n = queries.count(), corpus.count()
     cols, parts = max(1, math.ceil(nq / QUERY_BLOCK)), max(1, math.ceil(n / CORPUS_BLOCK))
     parts = max(parts, min(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 1024)))
 
     def cell(key, left, right):
-        out = []
-        if left.num_rows and right.num_rows:
-            q, docs = left.column("q").to_numpy(), right.column("doc").to_numpy()
-            d = np.round(_matrix(left.column("qv")) @ _matrix(right.column("dv")).T, DIGITS)
-            own = left.column("own").to_numpy()[:, None] == docs
+        made, docs = [], right.column("doc").to_numpy()
+        n = right.num_rows and left.num_rows
+        dv, of = (_matrix(right.column("dv")).T, known(right)) if n else (None, None)
+        step = max(1, SCORES // max(1, right.num_rows))
+        for start in range(0, left.num_rows if n else 0, step):
+            few, rows = left.slice(start, step), []
+            q = few.column("q").to_numpy()
+            d = np.round(_matrix(few.column("qv")) @ dv, DIGITS)
+            own = few.column("own").to_numpy()[:, None] == docs
             if moments:
                 x = np.where(own, 0.0, d)
-                out += [("", int(a), int(c), float(s), float(t)) for a, c, s, t in zip(q, (~own).sum(1), x.sum(1), (x * x).sum(1))]
-            for name, k, s in score(left, right, d):
+                rows.append(("", q, (~own).sum(1), x.sum(1), (x * x).sum(1)))
+            for name, k, s in score(few, of, d):
                 s = np.where(own, -np.inf, s)
                 for i in range(len(q)):
                     got = _best(s[i], docs, k)
                     got = got[np.isfinite(s[i][got])]
-                    out += [(name, int(q[i]), a, b, c) for a, b, c in zip(docs[got].tolist(), s[i][got].tolist(), d[i][got].tolist())]
-        cols_ = list(zip(*out)) or [[]] * 5
-        return pa.table({c: pa.array(v, t) for (c, t), v in zip((("list", pa.string()), ("q", pa.int64()), ("doc", pa.int64()), ("score", pa.float64()), ("total", pa.float64())), cols_)})
+                    rows.append((name, np.full(len(got), q[i]), docs[got], s[i][got], d[i][got]))
+            made.append(_rows(rows))
+        return pa.concat_tables(made or [_rows([])])
 
     left = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(cols)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = corpus.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
@@ -84,7 +98,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> tuple[DataFrame, D
     """(q, doc, score, rank) of the k best rows, and (q, n, pop, samp): rows scored and the scores' deviations over the corpus.
 
     queries: (q, qv, own): own is the row a query must not meet (-1: none); corpus: (doc, dv)."""
-    x = _cells(queries, corpus, lambda left, right, d: [("top", k, d)], True)
+    x = _cells(queries, corpus, lambda left, of, d: [("top", k, d)], True)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
     top = x.filter("list = 'top'").select("q", "doc", "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     m = x.filter("list = ''").groupBy("q").agg(F.sum("doc").alias("n"), F.sum("score").alias("s"), F.sum("total").alias("t"))
@@ -99,11 +113,11 @@ def located(queries: DataFrame, corpus: DataFrame, lists: list[tuple[str, int, s
     queries: (q, qv, own, sloc, n_s, cnts, and the named scale columns): n_s the location's log rows (null: none), cnts its
     (iloc, rows); corpus: (doc, dv, iloc, base). p is as in ``retrieval.location_prior``, from these parts: no table of location pairs."""
 
-    def score(left, right, d):
-        lp = _log_prior(left, right)
+    def score(left, of, d):
+        lp = _log_prior(left, *of)
         return [(name, k, np.round(a * (d * left.column(scale).to_numpy()[:, None]) + b * lp, DIGITS)) for name, k, scale, a, b in lists]
 
-    x = _cells(queries, corpus, score, False)
+    x = _cells(queries, corpus, score, False, _places)
     w = Window.partitionBy("list", "q").orderBy(F.desc("score"), "doc")
     sizes = F.create_map(*(F.lit(v) for name, k, *_ in lists for v in (name, k)))
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sizes[F.col("list")]).select("list", "q", "doc", "score", "rank")
