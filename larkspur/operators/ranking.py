@@ -1,4 +1,4 @@
-"""Within-query ranks, answer assembly by quotas, recall, and a pairwise ranker."""
+"""Within-query ranks, answer assembly by quotas, recall, and linear models (``boosting`` has the ranker)."""
 
 from __future__ import annotations
 
@@ -97,11 +97,6 @@ class Linear:
 
     def __init__(self, features: list[str], coefficients: list[float]):
         self.features, self.coefficients = list(features), [float(c) for c in coefficients]
-        self.standardised = self.coefficients
-
-    def spread(self, deviations) -> "Linear":
-        self.standardised = [c * d for c, d in zip(self.coefficients, deviations)]
-        return self
 
 
 def write_models(spark, models: list[Linear], path: str) -> None:
@@ -114,48 +109,6 @@ def read_models(spark, path: str) -> list[Linear]:
     return [Linear([r.feature for r in rows if r.model == i], [r.coefficient for r in rows if r.model == i]) for i in sorted({r.model for r in rows})]
 
 
-def importances(spark, models: list[Linear], features: list[str]) -> DataFrame:
-    """Metric rows: each feature's share of the absolute weights (of standardised features)."""
-    total = {f: sum(abs(m.standardised[m.features.index(f)]) for m in models) for f in features}
-    rows = [("ranker", "importance", f, round(v / max(sum(total.values()), 1e-300), 4)) for f, v in total.items()]
-    return spark.createDataFrame(rows, "stage string, name string, metric string, value double")
-
-
-def out_of_fold(rows: DataFrame, group: str, label: str, features: list[str], folds: int, seeds: tuple[int, ...]) -> DataFrame:
-    """rows (with fold) with score: each fold is scored by models fitted on the others. Only groups with a relevant row are fitted."""
-    out = None
-    for fold in range(folds):
-        mine = F.pmod("fold", F.lit(folds)) == fold
-        models = [fit_pairwise(rows.filter(~mine), group, label, features, seed=s) for s in seeds]
-        part = predict(rows.filter(mine), models, features)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def fit_pairwise(rows: DataFrame, group: str, label: str, features: list[str], negatives: int = 20, seed: int = 0):
-    """A linear ranker by logistic regression on feature differences of a relevant and another row of one group.
-
-    Each relevant row meets at most ``negatives`` others, chosen by hash, so pairs grow with the relevant rows; it stands in
-    for boosted trees with a LambdaRank loss, which Spark doesn't have."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    w = Window.partitionBy(group).orderBy(F.xxhash64("doc", F.lit(seed)))
-    neg = rows.filter(F.col(label) == 0).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= negatives)
-    pos = rows.filter(F.col(label) == 1)
-    a = pos.select(group, *(F.col(f).alias(f"p_{f}") for f in features))
-    b = neg.select(group, "doc", *(F.col(f).alias(f"n_{f}") for f in features))
-    sign = F.when(F.pmod(F.xxhash64("doc"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    pairs = a.join(b, group).withColumn("sign", sign)
-    pairs = pairs.select(*((F.coalesce(F.col(f"p_{f}") - F.col(f"n_{f}"), F.lit(0.0)) * F.col("sign")).alias(f) for f in features), ((F.col("sign") + 1) / 2).alias("label"))
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(pairs.na.fill(0.0))
-    if data.isEmpty():
-        return Linear(features, [0.0] * len(features)).spread([0.0] * len(features))
-    fitted = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=30, standardization=True).fit(data)
-    deviations = pairs.agg(*(F.coalesce(F.stddev_pop(f), F.lit(0.0)) for f in features)).first()
-    return Linear(features, fitted.coefficients.toArray().tolist()).spread(deviations)
-
-
 def predict(rows: DataFrame, models: list, features: list[str]) -> DataFrame:
     """rows with score: the mean of the models' linear scores."""
     score = F.lit(0.0)
