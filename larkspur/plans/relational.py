@@ -182,6 +182,18 @@ QUERIES = {
 }
 
 
+_SIDES = "count(case when bucket < 100 then 1 end) as b, count(case when bucket >= 100 then 1 end) as t"
+_HIT = "round(sum(case when g = {g} and t > 0 and {known} then b else 0 end) / cast(nullif(sum(case when g = {g} then b else 0 end), 0) as double), 6) as {name}"
+# Spark's own texts of queries whose plan from the common text computes the log once for each subquery: sides are counted by key in one pass.
+PLANS = {
+    "e3_overlap_shares": lambda d: _split(d) + f""", k as (select grouping_id() as g, query, sloc, filters, category, delivery, item_id, {_SIDES} from marked
+      group by query, sloc, filters, category, delivery, item_id grouping sets ((query), (query, sloc), (query, sloc, filters, category, delivery), (item_id), (sloc)))
+      select {_HIT.format(g=31, known="query is not null", name="text_share")}, {_HIT.format(g=15, known="query is not null and sloc is not null", name="query_loc_share")},
+      {_HIT.format(g=1, known="query is not null and sloc is not null and filters is not null and category is not null and delivery is not null", name="key_share")},
+      {_HIT.format(g=62, known="item_id is not null", name="item_share")}, {_HIT.format(g=47, known="sloc is not null", name="loc_share")} from k""",
+}
+
+
 def sql(name: str, dialect) -> str:
-    body = QUERIES[name](dialect).strip()
+    body = (PLANS if dialect is Spark and name in PLANS else QUERIES)[name](dialect).strip()
     return f"with {BASE}{body if body.startswith(',') else ' ' + body}"

@@ -75,3 +75,8 @@ def test_item_ids_of_more_than_five_digits(spark, tmp_path):
     want = {r[0]: r for r in con.sql(f"select doc, vid, item_text from ({registry.oracle_sql()['p9_item_texts']})").fetchall()}
     got = {r.doc: (r.doc, r.vid, r.item_text) for r in registry.queries()["p9_item_texts"](spark, str(tmp_path)).collect()}
     assert got == want and got[123456][1] == "v12345"
+
+
+def test_overlap_shares_read_the_log_once(spark):
+    plan = registry.queries()["e3_overlap_shares"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and plan.count("Relation [l_orderkey") == 1
